@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from penlight.llm import bpe, mixing
+from penlight.llm import bpe, language_id, mixing, pii, sharding
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op4_mixing": mixing.op4_mixing,
     "op5_bpe": bpe.op5_bpe,
+    "op6_pii": pii.op6_pii,
+    "op8_sharding": sharding.op8_sharding,
 }
 
 #: The other operators are models, searches or codecs that SQL cannot express; tests hold them against brute force.
