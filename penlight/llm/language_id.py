@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from penlight.llm._shared import held_out, sample_limit
 
-SAMPLE = 6_000
+SAMPLE = 3_000
 WORDS, GRAMS = 60_000, 40_000
 ORDER = 4
-#: What an unseen event counts as, and the longest word that a worker remembers.
+#: What an unseen event counts as, the longest word whose n-grams are learned, and the words that a worker remembers between documents.
 ADDED, LONGEST, REMEMBERED = 0.5, 40, 300_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -46,7 +46,7 @@ def grams(word: str) -> Iterator[str]:
 
 
 class LanguageModel(dict):
-    """Log frequencies by language; a dict of the vectors of words already scored."""
+    """Log frequencies by language; a dict from words already scored to their rows."""
 
     def __init__(self, texts: list[tuple[str, str]]):
         super().__init__()
@@ -61,7 +61,10 @@ class LanguageModel(dict):
                 for g in grams(word) if len(word) <= LONGEST else ():
                     pieces[lang][g] += n
         self.known = self.table(words, at, WORDS)
-        self.pieces = self.table(pieces, at, GRAMS)
+        vectors = self.table(pieces, at, GRAMS)
+        self.pieces = {gram: i for i, gram in enumerate(vectors)}
+        self.piece_rows = np.array(list(vectors.values())).reshape(len(vectors), len(self.languages))
+        self.rows = np.zeros((1024, len(self.languages)))
 
     def table(self, counts: dict[str, Counter], at: dict[str, int], most: int) -> dict[str, np.ndarray]:
         total = Counter()
@@ -75,32 +78,32 @@ class LanguageModel(dict):
         return dict(zip(kept, logs - logs.mean(axis=1, keepdims=True)))
 
     def backed_off(self, word: str) -> np.ndarray:
-        marked, i, n = f"<{word}>", 0, 0
-        out = np.zeros(len(self.languages))
-        while i < len(marked):
-            for size in range(min(ORDER, len(marked) - i), 0, -1):
-                if (found := self.pieces.get(marked[i : i + size])) is not None:
-                    out += found
-                    n += 1
+        marked, get, rows = f"<{word}>", self.pieces.get, []
+        for i in range(len(marked)):
+            for size in range(ORDER, 0, -1):
+                if (found := get(marked[i : i + size])) is not None:
+                    rows.append(found)
                     break
-            i += 1
-        return out / max(n, 1)
+        return self.piece_rows[rows].sum(axis=0) / max(len(rows), 1)
 
     def __missing__(self, word: str) -> np.ndarray:
+        at = len(self)
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         found = self.known.get(word)
-        if found is None:
-            found = self.backed_off(word)
-        if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = found
-        return found
+        self.rows[at] = self.backed_off(word) if found is None else found
+        self[word] = at
+        return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall(text.lower()) if text else []
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        sums = np.sum([self[w] for w in words], axis=0)
+        if len(self) > REMEMBERED:
+            self.clear()
+            self.rows = self.rows[: 2 * REMEMBERED]
+        found = list(map(self.__getitem__, words))  # may make room in rows
+        sums = self.rows[found].sum(axis=0)
         best = int(np.argmax(sums))
         return self.languages[best], 1.0 / float(np.exp(np.maximum(sums - sums[best], -700.0)).sum())
 
