@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from penlight.llm import bpe, language_id, mixing, pii, sharding
+from penlight.llm import bpe, language_id, mixing, ngram_join, pii, quality_crf, sharding
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op4_mixing": mixing.op4_mixing,
     "op5_bpe": bpe.op5_bpe,
     "op6_pii": pii.op6_pii,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_sharding": sharding.op8_sharding,
+    "op10_quality_crf": quality_crf.op10_quality_crf,
 }
 
 #: The other operators are models, searches or codecs that SQL cannot express; tests hold them against brute force.
