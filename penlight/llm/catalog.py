@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from penlight.llm import bpe, language_id, mixing, ngram_join, pii, quality_crf, sharding
+from penlight.llm import bpe, kd_search, language_id, mixing, ngram_join, pii, quality_crf, sharding, vp_search
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_kd_search": kd_search.op2_kd_search,
+    "op3_vp_search": vp_search.op3_vp_search,
     "op4_mixing": mixing.op4_mixing,
     "op5_bpe": bpe.op5_bpe,
     "op6_pii": pii.op6_pii,
@@ -16,5 +18,6 @@ QUERIES = {
 
 #: The other operators are models, searches or codecs that SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = {
+    "op2_kd_search": kd_search.OP2_SQL,
     "op4_mixing": mixing.OP4_SQL,
 }
