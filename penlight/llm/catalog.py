@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from penlight.llm import bpe, kd_search, language_id, mixing, ngram_join, pii, quality_crf, sharding, vp_search
+from penlight.llm import bpe, kd_search, language_id, mixing, ngram_join, pii, quality_crf, sharding, token_files, vp_search
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_pii": pii.op6_pii,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_sharding": sharding.op8_sharding,
+    "op9_token_files": token_files.op9_token_files,
     "op10_quality_crf": quality_crf.op10_quality_crf,
 }
 
