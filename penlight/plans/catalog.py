@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from penlight.plans import sensor
 
-
-def flagship(spark, sf_dir):
-    """Placeholder until the flagship plan is built: the event table itself."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+QUERIES = {**sensor.QUERIES}
+ORACLE_SQL = {**sensor.ORACLE_SQL}
+flagship = sensor.flagship
