@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from penlight.plans import sensor
+from penlight.plans import alerting, pens, sensor, tracks
 
-QUERIES = {**sensor.QUERIES}
-ORACLE_SQL = {**sensor.ORACLE_SQL}
+QUERIES = {**sensor.QUERIES, **alerting.QUERIES, **pens.QUERIES, **tracks.QUERIES}
+ORACLE_SQL = {**sensor.ORACLE_SQL, **alerting.ORACLE_SQL, **pens.ORACLE_SQL, **tracks.ORACLE_SQL}
 flagship = sensor.flagship

@@ -65,10 +65,10 @@ FROM lineitem GROUP BY 1, 2, 3, 4""",
 SELECT d.doc_id, CAST(d.n_chars AS DOUBLE) AS n_chars, d.source AS experiment, d.lang AS pen_id, l.quality, l.toxic
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     "scored_windows": """
-SELECT CASE WHEN label % 3 = 0 THEN 'val' ELSE 'test' END AS split, CAST(label AS BIGINT) AS pig, vec_id AS at, abs(embedding[@first]) + abs(embedding[@second]) AS error
+SELECT CASE WHEN label % 3 = 0 THEN 'val' ELSE 'test' END AS split, CAST(label AS BIGINT) AS pig, vec_id AS seq, abs(embedding[@first]) + abs(embedding[@second]) AS error
 FROM embeddings""",
     "activity": """
-SELECT user_id % 60 AS pig_id, CAST(ts AS DATE) AS day, CAST(extract(HOUR FROM ts) AS BIGINT) AS hour, value AS movement FROM events""",
+SELECT user_id % 60 AS pig_id, CAST(ts AS DATE) AS day, CAST(hour(ts) AS BIGINT) AS hour, value AS movement FROM events""",
     "challenge": """
 SELECT l_partkey % 200 AS pig_id, CAST(l_orderkey % 15 AS BIGINT) AS day, max(37 + l_quantity / 12) AS rectal_temperature,
        max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS clinical, max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS viral
