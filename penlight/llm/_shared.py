@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,12 @@ def forget(df: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that nothing refers to any more; it does so when the driver's JVM collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(id_col: str = "doc_id"):
     """The rows kept from learning: crc32 of the id as text, modulo 4, is 2."""
     return F.crc32(F.col(id_col).cast("string")) % 4 == 2

@@ -11,10 +11,11 @@ intersection of the whole sets.
 Copies never meet each other: documents of equal sets form a class that its smallest id
 stands for. Links are sought until every candidate pair is either verified or already in
 one component: rounds of stars (all holders of a token against one of them) join the
-large groups with work linear in their size, and a last join then pairs, for each token,
-the holders outside the token's commonest component with all its holders. Frequent
-tokens are never dealt to one task: their postings skip the search for lone tokens, and
-joins on them leave skew to Spark's splitting of skewed joins.
+large groups with work linear in their size; a last round then takes, for each token, the
+holders outside the token's commonest component, and compares each with all of any other
+component that holds the token, in blocks: a set travels once for each block, not for
+each pair, and exact counts need no further filter there. Frequent tokens are never dealt to one task: their postings are salted in the
+search for lone tokens, and joins on them leave skew to Spark's splitting of skewed joins.
 
 Sets are 64-bit hashes of the shingles.
 
@@ -31,25 +32,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penlight.llm._shared import forget, written
+from penlight.llm._shared import collect_garbage, forget, written
 
 WORDS = 5
 #: Least similarity as a fraction.
 LEAST = (3, 4)
 #: Most tokens that count as frequent, and their least frequency. They only shape the orders: no token or pair is left out.
 FREQUENT, FREQUENT_FROM = 50_000, 16
-#: Words and classes that a worker remembers, documents that it handles at once, and tokens that it counts at once.
-REMEMBERED, STEP, COUNTED = 400_000, 1_000, 4_000_000
-#: Ids up to which a set of candidates is sent to all tasks; beyond, a shuffle joins it.
-BROADCAST_IDS = 300_000
+#: Classes that a task remembers, bytes and documents that it hashes at once, tokens that it counts at once.
+REMEMBERED, STEP_BYTES, STEP, COUNTED = 400_000, 2_000_000, 1_000, 4_000_000
+#: Salts of a frequent token's postings.
+SALTS = 1_009
+#: Rows up to which ids and pairs are sent to all tasks; beyond, a shuffle joins them.
+BROADCAST_ROWS = 300_000
 STAR_ROUNDS = 2
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Documents on either side of a block of the last round, on average.
+BLOCK = 500
+MULTIPLIER, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: One for each order.
 SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def mixed(x: np.ndarray, seed: np.uint64) -> np.ndarray:
@@ -58,52 +65,106 @@ def mixed(x: np.ndarray, seed: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < REMEMBERED and len(word) < 40:
-            self[word] = h
-        return h
-
-
-_hashes = WordHashes()
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """The distinct shingles of a text, ascending."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    n = len(words)
-    if not n:
-        return np.zeros(0, dtype=np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=n)
-    size = min(n, WORDS)
-    h = np.full(n - size + 1, size, dtype=np.uint64)
-    for k in range(size):
-        h = (h ^ (h >> np.uint64(31))) * MULTIPLIER + w[k : n - size + 1 + k]
-    return np.unique(mixed(h, np.uint64(1)))
-
-
-def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
-    return tuple(int(mixed(tokens, s).sum(dtype=np.uint64).view(np.int64)) for s in SEEDS[:2])
-
-
-def distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
-    """Steps of ids, sets and fingerprints; a class that this task has met keeps its fingerprint but has None for a set."""
+#: A random number for each byte.
+BYTES = mixed(np.arange(256, dtype=np.uint64), np.uint64(0x452821E638D01377))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of MULTIPLIER and of its inverse modulo 2**64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((MULTIPLIER, INVERSE)):
+            row = np.full(max(n, STEP_BYTES), base, np.uint64)
+            row[0] = 1
+            _powers[k] = np.cumprod(row, dtype=np.uint64)
+    return _powers
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of data: differences of running sums over bytes, shifted back to their start."""
+    raw = np.frombuffer(data, np.uint8)
+    up, down = powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(BYTES[raw] * up[: len(raw)], out=sums[1:])
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = ~SPACE[raw]
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    return mixed((sums[ends] - sums[starts]) * down[starts], (ends - starts).astype(np.uint64)), starts
+
+
+def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' distinct shingles, ascending within a text, and where each text's begin (with the end of all)."""
+    parts = [(x or "").encode("utf-8", "surrogatepass").lower() for x in texts]
+    hashes, starts = word_hashes(b" ".join(parts))
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    last = np.searchsorted(starts, ends, side="left")
+    first = np.concatenate([[0], last[:-1]])
+    count = last - first
+    h = np.full(max(len(hashes) - WORDS + 1, 0), WORDS, np.uint64)
+    for k in range(WORDS):
+        h = (h ^ (h >> np.uint64(31))) * MULTIPLIER + hashes[k : k + len(h)]
+    h = mixed(h, np.uint64(1))
+    sets = []
+    for a, n in zip(first.tolist(), count.tolist()):
+        if n >= WORDS:
+            own = h[a : a + n - WORDS + 1]
+            own.sort()
+            sets.append(own)
+        elif n:
+            short = np.uint64(n)
+            for x in hashes[a : a + n]:
+                with np.errstate(over="ignore"):
+                    short = (short ^ (short >> np.uint64(31))) * MULTIPLIER + x
+            sets.append(mixed(np.array([short]), np.uint64(2)))
+        else:
+            sets.append(hashes[:0])
+    tokens = np.concatenate(sets) if sets else hashes[:0]
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    keep = np.ones(len(tokens), dtype=bool)
+    keep[1:] = tokens[1:] != tokens[:-1]
+    keep[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    return tokens[keep], kept[np.concatenate([[0], np.cumsum(sizes)])]
+
+
+def fingerprints(tokens: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Two sums over each set."""
+    out = []
+    for seed in SEEDS[:2]:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(tokens, seed), dtype=np.uint64)])
+        out.append((sums[at[1:]] - sums[at[:-1]]).view(np.int64))
+    return out
+
+
+def steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about STEP_BYTES of text (its second column), whole rows each."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        done = sizes[at - 1] if at else 0
+        n = max(1, min(STEP, int(np.searchsorted(sizes, done + STEP_BYTES, side="right")) - at))
+        yield batch.slice(at, n)
+        at += n
+
+
+def distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Steps: ids, tokens, bounds, fingerprints, and which rows are the first of their class in this task (and not empty)."""
     seen: set[tuple[int, int]] = set()
     for batch in batches:
-        for at in range(0, batch.num_rows, STEP):
-            part = batch.slice(at, STEP)
-            ids, sets, prints = part.column(0).to_pylist(), [], []
-            for text in part.column(1).to_pylist():
-                tokens = shingles(text)
-                prints.append((len(tokens), *fingerprint(tokens)))
-                known = prints[-1][1:] in seen
-                if not known:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add(prints[-1][1:])
-                sets.append(None if known else tokens)
-            yield ids, sets, prints
+        for part in steps(batch):
+            ids = part.column(0).to_pylist()
+            tokens, at = shingle_sets(part.column(1).to_pylist())
+            c1, c2 = fingerprints(tokens, at)
+            fresh = []
+            for k, pair in enumerate(zip(c1.tolist(), c2.tolist())):
+                if at[k] == at[k + 1] or pair in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(pair)
+                fresh.append(k)
+            yield ids, tokens, at, c1, c2, fresh
 
 
 def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,15 +173,16 @@ def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
 
     def counted() -> pa.RecordBatch:
-        tokens, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        tokens = np.sort(np.concatenate([np.zeros(0, np.uint64), *held]))
         held.clear()
-        tokens, times = tokens[times > 1].view(np.int64), times[times > 1]
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, int)
+        times = np.diff(np.append(first, len(tokens)))
+        tokens, times = tokens[first[times > 1]].view(np.int64), times[times > 1]
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), pa.nulls(len(tokens), pa.int64()), pa.array(times, pa.int64()), pa.array(tokens, pa.int64()), pa.nulls(len(tokens), pa.int64())], names=names)
 
-    for ids, sets, prints in distinct_sets(batches):
-        n, c1, c2 = (pa.array(x, pa.int64()) for x in zip(*prints))
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), n, c1, c2], names=names)
-        held += [x for x in sets if x is not None]
+    for ids, tokens, at, c1, c2, fresh in distinct_sets(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(c1), pa.array(c2)], names=names)
+        held += [tokens[at[k] : at[k + 1]] for k in fresh]
         if sum(map(len, held)) > COUNTED:
             yield counted()
     yield counted()
@@ -132,55 +194,76 @@ class Orders:
     def __init__(self, tokens: list[int], levels: list[int]):
         known = np.array(tokens, dtype=np.int64)
         order = np.argsort(known)
-        self.tokens, self.levels = known[order], np.array(levels, dtype=np.int64)[order]
+        self.tokens, self.levels = known[order], np.array(levels, dtype=np.uint64)[order]
 
     def level(self, tokens: np.ndarray) -> np.ndarray:
-        """0 for tokens that are not frequent."""
+        """0 for tokens that are not frequent, below 64 for all."""
         if not len(self.tokens):
-            return np.zeros(len(tokens), np.int64)
+            return np.zeros(len(tokens), np.uint64)
         at = np.minimum(np.searchsorted(self.tokens, tokens.view(np.int64)), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == tokens.view(np.int64), self.levels[at], 0)
+        return np.where(self.tokens[at] == tokens.view(np.int64), self.levels[at], np.uint64(0))
 
-    def prefix(self, tokens: np.ndarray, level: np.ndarray, no: int) -> np.ndarray:
-        """The places in `tokens` of the set's prefix under order `no`, in that order."""
-        n, (a, b) = len(tokens), LEAST
-        return np.lexsort((mixed(tokens, SEEDS[no]), level))[: n - -(-a * n // b) + 1]
+    def keys(self, tokens: np.ndarray, level: np.ndarray, no: int) -> np.ndarray:
+        """Numbers by which order `no` sorts tokens: the level, then a hash. Where they tie, the token decides."""
+        return (mixed(tokens, SEEDS[no]) >> np.uint64(6)) | (level << np.uint64(58))
+
+
+def prefix(keys: np.ndarray) -> np.ndarray:
+    """Places of a set's prefix in the order of keys; the set's tokens ascend."""
+    n, (a, b) = len(keys), LEAST
+    return np.argsort(keys, kind="stable")[: n - -(-a * n // b) + 1]
 
 
 def posting_rows(orders: Orders):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets, prints in distinct_sets(batches):
-            parts = []
-            for i, tokens, (n, c1, _) in zip(ids, sets, prints):
-                if i is None or tokens is None or not n:
-                    continue
-                level = orders.level(tokens)
-                at = orders.prefix(tokens, level, 0)
-                k = len(at)
-                parts.append((tokens[at].view(np.int64), (level[at] > 0), np.full(k, c1), np.full(k, i), np.full(k, n, np.int32), np.arange(k, dtype=np.int32)))
-            if parts:
-                columns = [pa.array(np.concatenate(c)) for c in zip(*parts)]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "frequent", "c1", "doc_id", "n", "pos"])
+        for ids, tokens, at, c1, _, fresh in distinct_sets(batches):
+            level = orders.level(tokens)
+            keys = orders.keys(tokens, level, 0)
+            fresh = [k for k in fresh if ids[k] is not None]
+            if not fresh:
+                continue
+            places = [prefix(keys[at[k] : at[k + 1]]) + at[k] for k in fresh]
+            sizes = np.array([len(p) for p in places])
+            place, rows = np.concatenate(places), np.array(fresh)
+            doc = np.array([ids[k] for k in fresh], np.int64)
+            often = level[place] > 0
+            who = np.repeat(doc, sizes)
+            columns = [
+                tokens[place].view(np.int64),
+                np.where(often, (who & 0x7FFFFFFF) % SALTS + 1, 0).astype(np.int32),
+                np.repeat(c1[rows], sizes),
+                who,
+                np.repeat(np.diff(at)[rows], sizes).astype(np.int32),
+                (np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "salt", "c1", "doc_id", "n", "pos"])
 
     return post
 
 
 def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by token, class and id: one row for each token and class, where a token has several classes."""
+    """Of postings sorted by token, class and id: one row for each token and class, where a token has several classes. Salted rows, of tokens known to be frequent, all stay."""
     columns = ("token", "c1", "doc_id", "n", "pos")
-    held = None
-    last = None
+    out = [c for c in columns if c != "c1"]
+    held = last = None
     for batch in batches:
-        rows = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns}
         if not batch.num_rows:
             continue
+        rows = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("salt", *columns)}
+        often = rows.pop("salt") > 0
+        if often.any():
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c][often]) for c in out], names=out)
+            rows = {c: x[~often] for c, x in rows.items()}
+            if often.all():
+                continue
         key = np.stack([rows["token"], rows["c1"]])
-        new = np.ones(batch.num_rows, dtype=bool)
+        new = np.ones(key.shape[1], dtype=bool)
         new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
         new[0] = last is None or tuple(key[:, 0]) != last
         last = tuple(key[:, -1])
         rows = {c: x[new] for c, x in rows.items()}
-        # The last class of the batch before waits for the first of this one.
+        # The last class of the batch before waits for the first of this one; `sent` tells whether it has gone out already.
+        sent = held is not None and held[1]
         if held is not None:
             rows = {c: np.concatenate([held[0][c], x]) for c, x in rows.items()}
         token = rows["token"]
@@ -190,32 +273,60 @@ def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.zeros(len(token), dtype=bool)
         keep[1:] |= alike
         keep[:-1] |= alike
-        if held is not None:
-            keep[0] = (keep[0] or held[1]) and not held[1]
-        waits = bool(alike[-1]) if len(alike) else bool(held is not None and held[1])
-        keep[-1] = keep[-1] and not (held is not None and held[1] and len(token) == 1)
-        held = ({c: x[-1:] for c, x in rows.items()}, waits)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[c][keep]) for c in columns if c != "c1"], names=[c for c in columns if c != "c1"])
+        if sent:
+            keep[0] = False
+        held = ({c: x[-1:] for c, x in rows.items()}, bool(alike[-1]) if len(alike) else sent)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[c][keep]) for c in out], names=out)
 
 
-def set_rows(orders: Orders):
+def set_rows(orders: Orders, prefixes: bool = True):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """id, the set, with `prefixes` 16 bits of each token of its prefixes under the second and third order, and at of the input."""
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
-                sets = [shingles(x) for x in part.column(1).to_pylist()]
-                levels = [orders.level(x) for x in sets]
-                prefixes = [[(mixed(x[orders.prefix(x, v, no)], SEEDS[no]) & np.uint64(0xFFFF)).astype(np.int32) for x, v in zip(sets, levels)] for no in (1, 2)]
-                made = [lists(sets, np.int64), *(lists(p, np.int32) for p in prefixes)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["id", "tokens", "p2", "p3"])
+            for part in steps(batch):
+                tokens, at = shingle_sets(part.column(1).to_pylist())
+                made = [lists(tokens.view(np.int64), np.diff(at))]
+                for no in (1, 2) if prefixes else ():
+                    keys = orders.keys(tokens, orders.level(tokens), no)
+                    found = [keys[at[k] : at[k + 1]][prefix(keys[at[k] : at[k + 1]])] for k in range(part.num_rows)]
+                    made.append(lists(np.concatenate([keys[:0], *found]).astype(np.uint16).view(np.int16), np.array([len(x) for x in found])))
+                yield pa.RecordBatch.from_arrays([part.column(0), *made, part.column(2)], names=["id", "tokens", "p2", "p3", "at"] if prefixes else ["id", "tokens", "at"])
 
     return rows
 
 
-def lists(parts: list[np.ndarray], kind) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-    values = np.concatenate([np.zeros(0, kind), *[x.view(kind) if x.dtype.itemsize == np.dtype(kind).itemsize else x.astype(kind) for x in parts]])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+def sets_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, sizes and concatenated tokens of rows with id and tokens."""
+    ids = table.column("id").to_numpy()
+    lists = table.column("tokens").combine_chunks()
+    return ids, pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+
+
+def linked_in_block(left: pa.Table, right: pa.Table) -> pa.Table:
+    """For each document on the right the first one on the left that it links with."""
+    found: list[tuple[int, int]] = []
+    if left.num_rows and right.num_rows:
+        ids, sizes, tokens = sets_of(left)
+        owners = np.repeat(np.arange(len(ids)), sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owners = tokens[order], owners[order]
+        others, lengths, theirs = sets_of(right)
+        at = 0
+        for other, n in zip(others.tolist(), lengths.tolist()):
+            own = theirs[at : at + n]
+            at += n
+            low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+            times = high - low
+            places = np.arange(times.sum()) + np.repeat(low - (np.cumsum(times) - times), times)
+            common = np.bincount(owners[places], minlength=len(ids))
+            good = np.flatnonzero((common * LEAST[1] >= (sizes + n - common) * LEAST[0]) & (ids != other) & (sizes > 0))
+            if len(good):
+                found.append((other, int(ids[good[0]])))
+    return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
+
+
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -239,6 +350,11 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def small_or_merged(rows: DataFrame) -> DataFrame:
+    """rows with the hint to send them to all tasks where they are at most BROADCAST_ROWS, and to merge them by a shuffle beyond."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows.hint("merge")
+
+
 class NgramJoin:
     """The steps of the join over one table: doc_id (long) and text."""
 
@@ -250,6 +366,7 @@ class NgramJoin:
         classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
         joined = rows.join(classes.hint("merge"), ["c1", "c2"], "left")
         self.members = written(joined.select("doc_id", "n", F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("rep"))).alias("rep")), "members")
+        forget(marks)
 
     @staticmethod
     def frequent(counts: DataFrame) -> Orders:
@@ -262,40 +379,41 @@ class NgramJoin:
                 break
             least = level
         rows = tokens.where(F.col("level") >= least).select("token", "level").collect() if least is not None else []
+        forget(tokens)
         return Orders([r[0] for r in rows], [r[1] for r in rows])
 
     def postings(self) -> DataFrame:
         """token, rep, n and pos: the prefixes under the first order, without tokens that only one class has."""
-        spark = self.docs.sparkSession
-        sent = spark.sparkContext.broadcast(self.orders)
-        rows = self.docs.mapInArrow(lambda batches: posting_rows(sent.value)(batches), "token long, frequent boolean, c1 long, doc_id long, n int, pos int")
-        path = written(rows.where("frequent").drop("frequent", "c1"), "frequent_postings")
-        rare = rows.where("not frequent").drop("frequent").repartition("token").sortWithinPartitions("token", "c1", "doc_id")
-        shared = written(rare.mapInArrow(shared_rows, "token long, doc_id long, n int, pos int"), "shared")
-        reps = self.members.select("doc_id", "rep").where("rep is not null").distinct()
-        found = written(shared.unionByName(path).join(reps.hint("merge"), "doc_id").select("token", "rep", "n", "pos"), "postings")
-        forget(path)
-        forget(shared)
-        return found
+        sent = self.docs.sparkSession.sparkContext.broadcast(self.orders)
+        rows = self.docs.mapInArrow(lambda batches: posting_rows(sent.value)(batches), "token long, salt int, c1 long, doc_id long, n int, pos int")
+        dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "c1", "doc_id")
+        shared = dealt.mapInArrow(shared_rows, "token long, doc_id long, n int, pos int")
+        copies = self.members.where("rep <> doc_id").select("doc_id", "rep").distinct()
+        found = shared.join(small_or_merged(copies), "doc_id", "left")
+        return written(found.select("token", F.coalesce("rep", "doc_id").alias("rep"), "n", "pos"), "postings")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs (a, b), those of similarity LEAST or more."""
-        spark = self.docs.sparkSession
-        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        texts = self.docs.join(F.broadcast(ids) if few else ids.hint("merge"), self.docs["doc_id"] == ids["id"], "left_semi")
-        sent = spark.sparkContext.broadcast(self.orders)
-        sets = written(texts.mapInArrow(lambda batches: set_rows(sent.value)(batches), "id long, tokens array<long>, p2 array<int>, p3 array<int>"), "sets")
-        side = lambda x, *columns: sets.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]).hint("merge")
-        passed = pairs.join(side("a", "p2", "p3"), "a").join(side("b", "p2", "p3"), "b")
-        passed = written(passed.where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b").distinct(), "passed")
-        held = passed.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
+        """Of candidate pairs (a, b), those of similarity LEAST or more.
+
+        Sets travel once: that of b, made from its text where its pairs are known, goes
+        to the task of a, where the filters of the other orders run before the exact count.
+        """
+        sent = self.docs.sparkSession.sparkContext.broadcast(self.orders)
+        schema = "id long, tokens array<long>, p2 array<short>, p3 array<short>, at array<long>"
+        few = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+        def sets(where: DataFrame, side: str) -> DataFrame:
+            """where: id and the tasks (at) that its set is for."""
+            texts = self.docs.join(F.broadcast(where) if few else where.hint("merge"), F.col("doc_id") == F.col("id")).select("doc_id", "text", "at")
+            made = texts.mapInArrow(lambda batches: set_rows(sent.value)(batches), schema)
+            return made.select("id", F.explode("at").alias("a"), *[F.col(c).alias(f"{c}_{side}") for c in ("tokens", "p2", "p3")])
+
+        left = sets(pairs.select(F.col("a").alias("id"), F.array("a").alias("at")).distinct(), "a").drop("id")
+        right = sets(pairs.groupBy(F.col("b").alias("id")).agg(F.collect_list("a").alias("at")), "b")
         common = F.size(F.array_intersect("tokens_a", "tokens_b"))
         union = F.size("tokens_a") + F.size("tokens_b") - common
-        out = written(held.where(common * LEAST[1] >= union * LEAST[0]).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "links")
-        for table in (ids, sets, passed):
-            forget(table)
-        return out
+        linked = F.when(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"), common * LEAST[1] >= union * LEAST[0])
+        return written(right.join(left.hint("merge"), "a").where(linked).select(F.col("a").alias("u"), F.col("id").alias("v")), "links")
 
     @staticmethod
     def may_link(x: str, y: str):
@@ -305,42 +423,81 @@ class NgramJoin:
         left = F.least(nx - F.col(f"{x}_pos"), ny - F.col(f"{y}_pos"))
         return (F.least(nx, ny) * b >= F.greatest(nx, ny) * a) & (left * (a + b) >= (nx + ny) * a)
 
+    @staticmethod
+    def open_rows(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """Postings with label, single (no links yet) and major (the token's commonest label), of tokens whose holders have several labels."""
+        rows = postings.withColumns({"label": F.col("rep"), "single": F.lit(True)})
+        if labels is not None:
+            known = small_or_merged(labels.select(F.col("node").alias("rep"), F.col("label").alias("_l")).unionByName(labels.select(F.col("label").alias("rep"), F.col("label").alias("_l")).distinct()))
+            rows = postings.join(known, "rep", "left").withColumns({"label": F.coalesce("_l", "rep"), "single": F.col("_l").isNull()}).drop("_l")
+        counts = rows.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count("*").alias("labels"))
+        tokens = written(counts.where("labels > 1").select("token", "major"), "open_tokens")
+        return rows.join(small_or_merged(tokens), "token")
+
+    def star_pairs(self, rows: DataFrame, turn: int) -> DataFrame:
+        """Candidate pairs (a, b) of each token's centre, its holder of smallest hash in this turn, and its other holders."""
+        centres = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "pos", "label")).alias("c"))
+        left = centres.select("token", *[F.col(f"c.{c}").alias(f"x_{c}") for c in ("rep", "n", "pos", "label")])
+        right = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "pos", "label")])
+        pairs = right.join(left.hint("merge"), "token").where(F.col("x_label") != F.col("y_label")).where(self.may_link("x", "y"))
+        return written(pairs.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct(), "pairs")
+
+    @staticmethod
+    def open_components(rows: DataFrame) -> DataFrame:
+        """x and label: documents outside a token's commonest component, and components of other holders that sizes and places allow a link with."""
+        a, b = LEAST
+        held = rows.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.bool_and("single").alias("alone"))
+        minor = rows.where("label <> major").select("token", F.col("rep").alias("x"), F.col("label").alias("own"), "n", "pos", "single")
+        both = minor.join(held.hint("merge"), "token").where("own <> label")
+        fits = (F.col("most") * b >= F.col("n") * a) & (F.col("n") * b >= F.col("least") * a) & (F.least(F.col("n") - F.col("pos"), F.col("rest")) * (a + b) >= (F.col("n") + F.col("least")) * a)
+        # Of two documents without links one is enough.
+        once = ~(F.col("single") & F.col("alone")) | (F.col("x") > F.col("label"))
+        return written(both.where(fits & once).select("x", "label").distinct(), "open")
+
+    def block_links(self, wanted: DataFrame, labels: DataFrame) -> DataFrame:
+        """A link (u, v) of each x with each of its wanted components that has any."""
+        sent = self.docs.sparkSession.sparkContext.broadcast(self.orders)
+        counts = wanted.groupBy("label").agg(F.count("*").alias("xs"))
+        nodes = labels.select("node", "label").unionByName(counts.select(F.col("label").alias("node"), "label"))
+        members = nodes.join(small_or_merged(counts), "label")
+        sizes = members.groupBy("label").agg(F.count("*").alias("ys"), F.max("xs").alias("xs"))
+        sizes = written(sizes.select("label", F.ceil(F.col("ys") / BLOCK).cast("int").alias("yb"), F.ceil(F.col("xs") / BLOCK).cast("int").alias("xb")), "sizes")
+        plan = small_or_merged(sizes)
+        own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        every = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+        block = lambda y, x: F.struct(F.col("label").alias("label"), y.alias("yb"), x.alias("xb"))
+        left = members.select("node", "label").distinct().join(plan, "label").select(F.col("node").alias("id"), every("xb", lambda k: block(own("node", "yb"), k)).alias("at"))
+        right = wanted.join(plan, "label").select(F.col("x").alias("id"), every("yb", lambda k: block(k, own("x", "xb"))).alias("at")).groupBy("id").agg(F.flatten(F.collect_list("at")).alias("at"))
+
+        def sets(where: DataFrame) -> DataFrame:
+            texts = self.docs.join(small_or_merged(where), F.col("doc_id") == F.col("id")).select("doc_id", "text", "at")
+            made = texts.mapInArrow(lambda batches: set_rows(sent.value, False)(batches), "id long, tokens array<long>, at array<struct<label:long,yb:int,xb:int>>")
+            return made.select("id", "tokens", F.explode("at").alias("k")).select("k.*", "id", "tokens").groupBy("label", "yb", "xb")
+
+        return written(sets(left).cogroup(sets(right)).applyInArrow(linked_in_block, "u long, v long"), "links")
+
     def links(self) -> DataFrame:
         """node and label of all classes that have links."""
         postings = self.postings()
-        labels, tried = None, None
-        for turn in range(STAR_ROUNDS + 1):
-            rows = postings.withColumn("label", F.col("rep"))
-            if labels is not None:
-                rows = postings.join(labels.select(F.col("node").alias("rep"), "label").hint("merge"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-                open_tokens = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-                rows = written(rows.join(open_tokens.hint("merge"), "token", "left_semi"), "open")
-            one = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("rep", "n", "pos", "label")]
-            if turn < STAR_ROUNDS:
-                # A token's centre is its holder of smallest hash, another one in each round.
-                centres = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "pos", "label")).alias("c"))
-                left = centres.select("token", *[F.col(f"c.{c}").alias(f"x_{c}") for c in ("rep", "n", "pos", "label")])
-            else:
-                common = rows.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("major"))
-                left = rows.join(common.hint("merge"), "token").where("label <> major").select("token", *one("x"))
-            pairs = rows.select("token", *one("y")).join(left.hint("merge"), "token").where(F.col("x_label") != F.col("y_label")).where(self.may_link("x", "y"))
-            pairs = pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
-            if tried is not None:
-                pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
-            pairs = written(pairs, "pairs")
-            found = self.verified(pairs)
-            if labels is not None:
-                forget(rows)
-                found = found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
-                pairs = pairs.unionByName(tried)
-            labels, tried = components(found), pairs
+        labels = None
+        for turn in range(STAR_ROUNDS):
+            found = self.verified(self.star_pairs(self.open_rows(postings, labels), turn))
+            labels = self.joined(found, labels)
+        wanted = self.open_components(self.open_rows(postings, labels))
+        labels = self.joined(self.block_links(wanted, labels), labels)
         forget(postings)
         return labels
 
+    def joined(self, found: DataFrame, labels: DataFrame | None) -> DataFrame:
+        both = found if labels is None else found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
+        out = components(both)
+        collect_garbage(self.docs.sparkSession)
+        return out
+
     def result(self) -> DataFrame:
         """doc_id, n_shingles and component_id of every document."""
-        labels = self.links().select(F.col("node").alias("rep"), "label")
-        out = self.members.join(labels.hint("merge"), "rep", "left")
+        labels = small_or_merged(self.links().select(F.col("node").alias("rep"), "label"))
+        out = self.members.join(labels, "rep", "left")
         alone = F.coalesce("label", "rep", "doc_id")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))
 
@@ -351,9 +508,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that another one stands for: of each component the smallest id stays."""
-    found = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    kept = written(found.select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return docs.join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    found = near_duplicates(docs, id_col, text_col)
+    gone = written(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(small_or_merged(gone), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,6 +100,26 @@ def test_shared_rows_over_batches():
         batches = []
         for at in range(0, len(rows), step):
             t, c, d = (np.array(x) for x in zip(*rows[at : at + step]))
-            batches.append(pa.RecordBatch.from_arrays([pa.array(x) for x in (t, c, d, d.astype(np.int32), d.astype(np.int32))], names=["token", "c1", "doc_id", "n", "pos"]))
+            batches.append(pa.RecordBatch.from_arrays([pa.array(x) for x in (t, np.zeros(len(t), np.int32), c, d, d.astype(np.int32), d.astype(np.int32))], names=["token", "salt", "c1", "doc_id", "n", "pos"]))
         got = [(r["token"], r["doc_id"]) for b in ngram_join.shared_rows(iter(batches)) for r in b.to_pylist()]
         assert sorted(got) == sorted(expected)
+
+
+def test_salted_rows_stay_and_do_not_disturb():
+    rows = [(1, 0, 5, 50), (2, 3, 5, 50), (3, 0, 5, 50), (3, 0, 6, 60), (4, 9, 7, 70), (5, 0, 1, 10)]
+    for step in (1, 2, 6):
+        batches = []
+        for at in range(0, len(rows), step):
+            t, s, c, d = (np.array(x) for x in zip(*rows[at : at + step]))
+            batches.append(pa.RecordBatch.from_arrays([pa.array(x) for x in (t, s.astype(np.int32), c, d, d.astype(np.int32), d.astype(np.int32))], names=["token", "salt", "c1", "doc_id", "n", "pos"]))
+        assert sorted((r["token"], r["doc_id"]) for b in ngram_join.shared_rows(iter(batches)) for r in b.to_pylist()) == [(2, 50), (3, 50), (3, 60), (4, 70)]
+
+
+def test_sets_of_odd_texts():
+    texts = [None, "", "a", "A b", "a b", "one two three four five", "One two  three\tfour five\u00a0x six", "x y z x y z x y z x y z", "", "é Ü ü"]
+    tokens, at = ngram_join.shingle_sets(texts)
+    sets = [set(tokens[at[k] : at[k + 1]].tolist()) for k in range(len(texts))]
+    assert [len(s) for s in sets] == [0, 0, 1, 1, 1, 1, 2, 3, 0, 1]
+    assert sets[3] == sets[4] and sets[2] != sets[3] and not sets[5] & sets[6]
+    again, bounds = ngram_join.shingle_sets(["so " * 3000, *texts])
+    assert (again[bounds[1] :] == tokens).all()
