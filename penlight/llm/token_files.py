@@ -21,6 +21,7 @@ raises an error.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,22 +34,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from penlight.llm._shared import new_folder, with_offsets
+from penlight.llm._shared import new_folder, with_offsets, written
+
+# Spark runs a task on every core; the tokenizer must not start threads of its own.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 BLOCK, LANE = 65_536, 4_096
+#: Blocks up to which their starts are sent to all tasks.
+BROADCAST_BLOCKS = 200_000
 #: Ids whose blocks are coded together.
 TOGETHER = 6_000_000
 #: Chunks of text that a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 400_000, 40
+#: Documents that are split and encoded together.
+STEP = 500
 #: Slots (a power of two) of a lane's memory of each order, and contexts of the weights.
 SLOT_BITS, CONTEXTS = 12, 32
 MASK, WORD, LEAST_RANGE = np.uint64(2**48 - 1), np.uint64(16), np.uint64(2**32 - 1)
 #: Frequencies of classes add up to 2**12, those of a table to 2**16, both together to 2**28.
 CLASS_BITS, ALL_BITS = 12, np.uint64(28)
 SEPARATORS = re.compile("[\x1c-\x1f]")
-BLOCK_SCHEMA = "part int, block int, doc_ids binary, lengths binary, ids binary, frequencies binary, lanes binary, code binary, crc32 long"
+BLOCK_SCHEMA = "part int, block int, doc_ids binary, lengths binary, ids binary, frequencies binary, lanes binary, code binary, crc32 long, n_ids long"
 
 
 class ChunkIds(dict):
@@ -60,17 +68,29 @@ class ChunkIds(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def encode(self, text: str | None) -> np.ndarray:
-        chunks = text.split() if text and not SEPARATORS.search(text) else regex.split(r"\s+", text or "")
-        return np.frombuffer(b"".join(map(self.__getitem__, chunks)) + END.to_bytes(2, "little"), dtype="<u2")
+    @staticmethod
+    def chunks(text: str | None) -> list[str]:
+        if not text or SEPARATORS.search(text):
+            return regex.split(r"\s+", text or "")
+        # The tokenizer lowers letters, but special tokens are matched as they stand.
+        return (text.lower() if text.isascii() and "<|" not in text else text).split()
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of whole texts with the end id; chunks not seen before go to the tokenizer together."""
+        parts = [self.chunks(t) for t in texts]
+        new = set().union(*parts).difference(self)
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+            new = set().union(*parts)
+        order = list(new)
+        for chunk, found in zip(order, self.tokenizer.encode_batch(order, add_special_tokens=False)):
+            self[chunk] = np.array(found.ids, dtype="<u2").tobytes()
+        end = END.to_bytes(2, "little")
+        out = [np.frombuffer(b"".join(map(self.__getitem__, p)) + end, dtype="<u2") for p in parts]
+        for chunk in order:
+            if len(chunk) > LONGEST:
+                del self[chunk]
+        return out
 
 
 _chunks: dict[str, ChunkIds] = {}
@@ -262,15 +282,15 @@ def file_blocks(path: str):
             rows = []
             for (docs, parts), whole, made in zip(full, blocks, encode_blocks(blocks)):
                 known = np.array([-(2**63) if x is None else x for x in docs], "<i8")
-                rows.append({"part": part_no, "block": number, "doc_ids": known.tobytes(), "lengths": np.array([len(p) for p in parts], "<u4").tobytes(), "crc32": zlib.crc32(whole.tobytes())} | made)
+                rows.append({"part": part_no, "block": number, "doc_ids": known.tobytes(), "lengths": np.array([len(p) for p in parts], "<u4").tobytes(), "crc32": zlib.crc32(whole.tobytes()), "n_ids": len(whole)} | made)
                 number += 1
             full.clear()
             return pa.RecordBatch.from_pylist(rows, schema=OUT)
 
         for batch in batches:
             part_no = batch.column(2)[0].as_py() if batch.num_rows else 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = chunks.encode(text)
+            encoded = (x for at in range(0, batch.num_rows, STEP) for x in chunks.encode(batch.column(1).slice(at, STEP).to_pylist()))
+            for i, found in zip(batch.column(0).to_pylist(), encoded):
                 ids.append(i)
                 texts.append(found)
                 size += len(found)
@@ -289,11 +309,11 @@ def file_blocks(path: str):
     return write
 
 
-OUT = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary()), ("frequencies", pa.binary()), ("lanes", pa.binary()), ("code", pa.binary()), ("crc32", pa.int64())])
+OUT = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary()), ("frequencies", pa.binary()), ("lanes", pa.binary()), ("code", pa.binary()), ("crc32", pa.int64()), ("n_ids", pa.int64())])
 
 
 def block_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document: part, block, place, doc_id, ids as unsigned 32-bit little-endian integers."""
+    """A row for each document: part, block, place, doc_id, offset (ids before it in the block), ids as unsigned 32-bit little-endian integers."""
     for batch in batches:
         waiting: list[dict] = []
         rows = batch.to_pylist()
@@ -314,9 +334,10 @@ def block_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                         pa.array(np.full(n, r["block"], np.int32)),
                         pa.array(np.arange(n, dtype=np.int32)),
                         pa.array(known, mask=known == -(2**63)),
+                        pa.array(np.cumsum(lengths) - lengths),
                         pa.array([wide[e - 4 * k : e] for e, k in zip(ends, lengths)], pa.binary()),
                     ],
-                    names=["part", "block", "place", "doc_id", "ids"],
+                    names=["part", "block", "place", "doc_id", "offset", "ids"],
                 )
             waiting = []
 
@@ -329,13 +350,25 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     ordered.mapInArrow(file_blocks(path), BLOCK_SCHEMA).write.parquet(folder)
 
 
+def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(BLOCK_SCHEMA).parquet(folder)
+
+
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """part, block, place, doc_id and ids (binary) of every document of a folder."""
-    return spark.read.schema(BLOCK_SCHEMA).parquet(folder).mapInArrow(block_documents, "part int, block int, place int, doc_id long, ids binary")
+    """part, block, place, doc_id, offset and ids (binary) of every document of a folder."""
+    return read_blocks(spark, folder).mapInArrow(block_documents, "part int, block int, place int, doc_id long, offset long, ids binary")
+
+
+def block_starts(spark: SparkSession, folder: str) -> DataFrame:
+    """part, block and first: the ids of all blocks before."""
+    return with_offsets(read_blocks(spark, folder).select("part", "block", "n_ids"), "part", ["block"], "first", "n_ids").select("part", "block", "first")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
-    rows = read_tokens(spark, folder).select("part", "block", "place", "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    return with_offsets(rows, "part", ["block", "place"], "start", "n_tokens").select("doc_id", "start", "n_tokens", "ids_crc32")
+    rows = read_tokens(spark, folder).select("part", "block", "doc_id", "offset", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    starts = written(block_starts(spark, folder), "starts")
+    few = starts.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+    joined = rows.join(F.broadcast(starts) if few else starts.hint("merge"), ["part", "block"])
+    return joined.select("doc_id", (F.col("first") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
