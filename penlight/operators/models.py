@@ -93,12 +93,12 @@ def isolation_scores(train: DataFrame, windows: DataFrame, vector: str, key: str
     some hundred nodes each, sent to all tasks.
     """
     n = train.count()
-    share = min(1.0, 2.0 * SUBSAMPLE / max(n, 1))
+    share = min(1.0, SUBSAMPLE / max(n, 1))
     held = train.select(key, F.col(vector).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
     picked = held.where(F.pmod(F.xxhash64(key, "tree", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def build(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key).head(SUBSAMPLE)
+        rows = rows.sort_values(key)
         tree = isolation_tree(np.stack(rows["v"]).astype(float), np.random.default_rng(seed + int(k[0])))
         return pd.DataFrame({"tree": [int(k[0])], "nodes": [json.dumps(tree)], "n": [len(rows)]})
 
