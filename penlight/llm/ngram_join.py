@@ -44,7 +44,7 @@ LEAST = (3, 4)
 #: Most tokens that count as frequent, and their least frequency. They only shape the orders: no token or pair is left out.
 FREQUENT, FREQUENT_FROM = 50_000, 16
 #: Classes that a task remembers, bytes and documents that it hashes at once, tokens that it counts at once.
-REMEMBERED, STEP_BYTES, STEP, COUNTED = 400_000, 2_000_000, 1_000, 4_000_000
+REMEMBERED, STEP_BYTES, STEP, COUNTED = 400_000, 1_000_000, 1_000, 2_000_000
 #: Salts of a frequent token's postings.
 SALTS = 1_009
 #: Rows up to which ids and pairs are sent to all tasks; beyond, a shuffle joins them.
