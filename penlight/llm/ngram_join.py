@@ -447,12 +447,14 @@ class NgramJoin:
         """x and label: documents outside a token's commonest component, and components of other holders that sizes and places allow a link with."""
         a, b = LEAST
         held = rows.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.bool_and("single").alias("alone"))
-        minor = rows.where("label <> major").select("token", F.col("rep").alias("x"), F.col("label").alias("own"), "n", "pos", "single")
+        minor = rows.where("label <> major").select("token", "major", F.col("rep").alias("x"), F.col("label").alias("own"), "n", "pos", "single")
         both = minor.join(held.hint("merge"), "token").where("own <> label")
         fits = (F.col("most") * b >= F.col("n") * a) & (F.col("n") * b >= F.col("least") * a) & (F.least(F.col("n") - F.col("pos"), F.col("rest")) * (a + b) >= (F.col("n") + F.col("least")) * a)
-        # Of two documents without links one is enough.
-        once = ~(F.col("single") & F.col("alone")) | (F.col("x") > F.col("label"))
-        return written(both.where(fits & once).select("x", "label").distinct(), "open")
+        # Two documents without links are compared once, the larger id with the smaller. The major one has no row of its own, so its pairs come from the other side alone.
+        pair = F.col("single") & F.col("alone")
+        once = ~pair | (F.col("x") > F.col("label")) | (F.col("label") == F.col("major"))
+        larger, smaller = F.when(pair, F.greatest("x", "label")).otherwise(F.col("x")), F.when(pair, F.least("x", "label")).otherwise(F.col("label"))
+        return written(both.where(fits & once).select(larger.alias("x"), smaller.alias("label")).distinct(), "open")
 
     def block_links(self, wanted: DataFrame, labels: DataFrame) -> DataFrame:
         """A link (u, v) of each x with each of its wanted components that has any."""

@@ -123,3 +123,23 @@ def test_sets_of_odd_texts():
     assert sets[3] == sets[4] and sets[2] != sets[3] and not sets[5] & sets[6]
     again, bounds = ngram_join.shingle_sets(["so " * 3000, *texts])
     assert (again[bounds[1] :] == tokens).all()
+
+
+def test_largest_id_links_where_all_holders_of_a_token_are_single(spark):
+    rng = random.Random(8)
+    # The star centre of a token is its holder of smallest hash: the linked pair never is one.
+    hashed = spark.range(1, 400).selectExpr("id", "least(xxhash64(id, 0), xxhash64(id, 1)) low", "greatest(xxhash64(id, 0), xxhash64(id, 1)) high").collect()
+    centres = [r.id for r in sorted(hashed, key=lambda r: r.high)[:24]]
+    smaller, largest = sorted(r.id for r in hashed if r.low > max(h.high for h in hashed if h.id in centres) and r.id > max(centres))[-2:]
+    parts = [[f"p{k}x{i}" for i in range(12)] for k in range(12)]
+    whole = [w for p in parts for w in p]
+    rows = [(smaller, " ".join(["one", *whole])), (largest, " ".join([*whole, "two"]))]
+    for k, i in enumerate(centres):
+        # Runs of six parts, so that every shingle but the pair's own ones has many holders.
+        at = k % 12
+        run = [w for j in range(at, at + 6) for w in parts[j % 12]]
+        rows.append((i, " ".join([*run, *[f"own{i}x{j}" for j in range(50)]])))
+    rng.shuffle(rows)
+    expected = brute(rows)
+    assert {(largest, smaller), (smaller, smaller)} <= {(i, c) for i, _, c in expected} and len({c for _, _, c in expected}) == len(rows) - 1
+    assert outcome(spark, rows) == expected
