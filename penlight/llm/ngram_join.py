@@ -219,7 +219,6 @@ def posting_rows(orders: Orders):
         for ids, tokens, at, c1, _, fresh in distinct_sets(batches):
             level = orders.level(tokens)
             keys = orders.keys(tokens, level, 0)
-            fresh = [k for k in fresh if ids[k] is not None]
             if not fresh:
                 continue
             places = [prefix(keys[at[k] : at[k + 1]]) + at[k] for k in fresh]
@@ -385,7 +384,8 @@ class NgramJoin:
     def postings(self) -> DataFrame:
         """token, rep, n and pos: the prefixes under the first order, without tokens that only one class has."""
         sent = self.docs.sparkSession.sparkContext.broadcast(self.orders)
-        rows = self.docs.mapInArrow(lambda batches: posting_rows(sent.value)(batches), "token long, salt int, c1 long, doc_id long, n int, pos int")
+        # A row without an id would stand for its class in a task, and then not be posted.
+        rows = self.docs.where("doc_id is not null").mapInArrow(lambda batches: posting_rows(sent.value)(batches), "token long, salt int, c1 long, doc_id long, n int, pos int")
         dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "c1", "doc_id")
         shared = dealt.mapInArrow(shared_rows, "token long, doc_id long, n int, pos int")
         copies = self.members.where("rep <> doc_id").select("doc_id", "rep").distinct()

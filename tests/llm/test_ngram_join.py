@@ -143,3 +143,11 @@ def test_largest_id_links_where_all_holders_of_a_token_are_single(spark):
     expected = brute(rows)
     assert {(largest, smaller), (smaller, smaller)} <= {(i, c) for i, _, c in expected} and len({c for _, _, c in expected}) == len(rows) - 1
     assert outcome(spark, rows) == expected
+
+
+def test_null_id_before_the_first_id_of_its_text(spark):
+    text = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(text)), (7, " ".join(text)), (9, " ".join([*text, "more"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = sorted(map(tuple, ngram_join.near_duplicates(docs).collect()), key=str)
+    assert found == sorted([(None, 56, None), (7, 56, 7), (9, 57, 7)], key=str)
