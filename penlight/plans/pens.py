@@ -101,7 +101,7 @@ l AS (SELECT *, ['cctv_focus', 'caution', 'observe', 'normal'][policy_rank] AS p
 
 
 def level_summary(spark, sf_dir):
-    return rounded(penday.level_summary(policy(spark, sf_dir).where("rule_score < 0.9"), "any_signs"), "label_rate")
+    return rounded(penday.level_summary(policy(spark, sf_dir), "any_signs"), "label_rate")
 
 
 def pen_alerts(spark, sf_dir):

@@ -44,3 +44,10 @@ def test_oracle(spark, duck, name):
 def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_level_summary_counts_all_pen_days(spark):
+    levels = catalog.QUERIES["dom09_alert_levels"](spark, TABLES).groupBy("policy_level").count().collect()
+    found = {r.policy_level: r.pen_days for r in catalog.QUERIES["agg32_level_summary"](spark, TABLES).collect()}
+    assert found == {"cctv_focus": 0, "caution": 0, "observe": 0, "normal": 0} | {r["policy_level"]: r["count"] for r in levels}
+    assert found["cctv_focus"] > 0
