@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from penlight.plans import catalog
+from penlight.plans import catalog, tracks
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -51,3 +51,10 @@ def test_level_summary_counts_all_pen_days(spark):
     found = {r.policy_level: r.pen_days for r in catalog.QUERIES["agg32_level_summary"](spark, TABLES).collect()}
     assert found == {"cctv_focus": 0, "caution": 0, "observe": 0, "normal": 0} | {r["policy_level"]: r["count"] for r in levels}
     assert found["cctv_focus"] > 0
+
+
+def test_long_form_has_all_pigs(spark):
+    rows = tracks.table(spark, TABLES, "challenge").where("rectal_temperature is not null").collect()
+    expected = sorted((r.day, str(r.pig_id), round(r.rectal_temperature, 4)) for r in rows)
+    found = sorted((r.day, r.pig_id, round(r.temperature, 4)) for r in catalog.QUERIES["src09_long_form"](spark, TABLES).collect())
+    assert found == expected and len({pig for _, pig, _ in found}) > 6
