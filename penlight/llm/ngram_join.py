@@ -4,18 +4,24 @@ Method: prefix filters under several global token orders. Two sets of similarity
 more share a token among the first n - ceil(t n) + 1 of each, whatever the order of
 tokens. All orders here put frequent shingles last (by powers of two of their frequency,
 counted over all documents); ties fall to a hash, another one for each order. The first
-order makes candidates, thinned by size and by the places of the shared token; the other
-two are then intersected with it, and only what passes all of them is verified by exact
-intersection of the whole sets.
+order makes candidates from an inverted index of prefixes, thinned by size and by the
+places of the shared token. The other two orders are then intersected with it on
+signatures: a document's prefixes under both, and the parities of its shingles in a
+bitmap, which bound the difference of two sets from below. Only pairs that pass all of it
+have their whole sets brought together and counted exactly.
 
 Copies never meet each other: documents of equal sets form a class that its smallest id
 stands for. Links are sought until every candidate pair is either verified or already in
 one component: rounds of stars (all holders of a token against one of them) join the
-large groups with work linear in their size; a last round then takes, for each token, the
-holders outside the token's commonest component, and compares each with all of any other
-component that holds the token, in blocks: a set travels once for each block, not for
-each pair, and exact counts need no further filter there. Frequent tokens are never dealt to one task: their postings are salted in the
-search for lone tokens, and joins on them leave skew to Spark's splitting of skewed joins.
+large groups with work linear in their size; the last round then takes, for each token,
+the holders outside its largest component, and compares their signatures with those of
+all of any other component that holds the token, in blocks. Of what passes there, one
+pair for each document and component is verified first, and the others only where that
+one is no link.
+
+Frequent tokens are never dealt to one task: their postings are salted in the search for
+lone tokens, and joins on them leave skew to Spark's splitting of skewed joins. Texts
+with very many copies find their class in a table of at most `HOT` rows.
 
 Sets are 64-bit hashes of the shingles.
 
@@ -33,10 +39,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from penlight.llm._shared import collect_garbage, forget, written
+from penlight.llm._shared import forget, written
 
 WORDS = 5
 #: Least similarity as a fraction.
@@ -44,14 +50,20 @@ LEAST = (3, 4)
 #: Most tokens that count as frequent, and their least frequency. They only shape the orders: no token or pair is left out.
 FREQUENT, FREQUENT_FROM = 50_000, 16
 #: Classes that a task remembers, bytes and documents that it hashes at once, tokens that it counts at once.
-REMEMBERED, STEP_BYTES, STEP, COUNTED = 400_000, 1_000_000, 1_000, 2_000_000
+REMEMBERED, STEP_BYTES, STEP, COUNTED = 300_000, 1_000_000, 1_000, 2_000_000
 #: Salts of a frequent token's postings.
 SALTS = 1_009
 #: Rows up to which ids and pairs are sent to all tasks; beyond, a shuffle joins them.
 BROADCAST_ROWS = 300_000
-STAR_ROUNDS = 2
-#: Documents on either side of a block of the last round, on average.
-BLOCK = 500
+STAR_ROUNDS = 1
+#: Documents on either side of a block of signatures, and documents that meet one other's set in a task, on average.
+BLOCK, PARTNERS = 1_000, 256
+#: A text is hot if its copies are more than this part of all rows, so there are at most so many hot texts.
+HOT = 1_000
+#: Holders of a token up to which each is compared with all others before its postings are kept; the postings of more holders are all kept.
+HOLDERS = 64
+#: Bits of a signature's bitmap: the power of two from twice the set's size on, but at least this.
+LEAST_BITS = 64
 MULTIPLIER, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: One for each order.
 SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
@@ -150,19 +162,19 @@ def steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Steps: ids, tokens, bounds, fingerprints, and which rows are the first of their class in this task (and not empty)."""
-    seen: set[tuple[int, int]] = set()
+    seen: set[int] = set()
     for batch in batches:
         for part in steps(batch):
             ids = part.column(0).to_pylist()
             tokens, at = shingle_sets(part.column(1).to_pylist())
             c1, c2 = fingerprints(tokens, at)
             fresh = []
-            for k, pair in enumerate(zip(c1.tolist(), c2.tolist())):
-                if at[k] == at[k + 1] or pair in seen:
+            for k, one in enumerate(c1.tolist()):
+                if at[k] == at[k + 1] or one in seen:
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
-                seen.add(pair)
+                seen.add(one)
                 fresh.append(k)
             yield ids, tokens, at, c1, c2, fresh
 
@@ -240,88 +252,142 @@ def posting_rows(orders: Orders):
     return post
 
 
+def may_link(nx, ny, px, py):
+    """Sizes allow the similarity, and so do the places of a shared token (the first one of a pair that links always passes)."""
+    a, b = LEAST
+    return (np.minimum(nx, ny) * b >= np.maximum(nx, ny) * a) & (np.minimum(nx - px, ny - py) * (a + b) >= (nx + ny) * a)
+
+
+def linkable(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """Of postings sorted by token, one for each token and class: which may link with another holder of their token."""
+    token, n, pos = rows["token"], rows["n"].astype(np.int64), rows["pos"].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    size = np.diff(np.append(first, len(token)))
+    keep = np.repeat(size > HOLDERS, size)
+    # after[k]: holders of the same token that come after row k.
+    after = np.repeat(first + size, size) - np.arange(len(token)) - 1
+    after[keep] = 0
+    at, shift = np.flatnonzero(after > 0), 1
+    while len(at):
+        good = at[may_link(n[at], n[at + shift], pos[at], pos[at + shift])]
+        keep[good] = keep[good + shift] = True
+        shift += 1
+        at = at[after[at] >= shift]
+    return keep
+
+
 def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by token, class and id: one row for each token and class, where a token has several classes. Salted rows, of tokens known to be frequent, all stay."""
+    """Of postings sorted by token, class and id: one row for each token and class, where another class of the token may link with it. Salted rows, of tokens known to be frequent, all stay."""
     columns = ("token", "c1", "doc_id", "n", "pos")
     out = [c for c in columns if c != "c1"]
-    held = last = None
+    waiting: list[dict[str, np.ndarray]] = []
+
+    def shared(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+        new = np.ones(len(rows["token"]), dtype=bool)
+        new[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["c1"][1:] != rows["c1"][:-1])
+        rows = {c: x[new] for c, x in rows.items()}
+        keep = linkable(rows)
+        return pa.RecordBatch.from_arrays([pa.array(rows[c][keep]) for c in out], names=out)
+
+    def together() -> dict[str, np.ndarray]:
+        return {c: np.concatenate([w[c] for w in waiting]) for c in columns}
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
         rows = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("salt", *columns)}
         often = rows.pop("salt") > 0
         if often.any():
             yield pa.RecordBatch.from_arrays([pa.array(rows[c][often]) for c in out], names=out)
             rows = {c: x[~often] for c, x in rows.items()}
-            if often.all():
-                continue
-        key = np.stack([rows["token"], rows["c1"]])
-        new = np.ones(key.shape[1], dtype=bool)
-        new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
-        new[0] = last is None or tuple(key[:, 0]) != last
-        last = tuple(key[:, -1])
-        rows = {c: x[new] for c, x in rows.items()}
-        # The last class of the batch before waits for the first of this one; `sent` tells whether it has gone out already.
-        sent = held is not None and held[1]
-        if held is not None:
-            rows = {c: np.concatenate([held[0][c], x]) for c, x in rows.items()}
         token = rows["token"]
         if not len(token):
             continue
-        alike = token[1:] == token[:-1]
-        keep = np.zeros(len(token), dtype=bool)
-        keep[1:] |= alike
-        keep[:-1] |= alike
-        if sent:
-            keep[0] = False
-        held = ({c: x[-1:] for c, x in rows.items()}, bool(alike[-1]) if len(alike) else sent)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[c][keep]) for c in out], names=out)
+        # The last token's rows wait for those in the next batch.
+        done = int(np.searchsorted(token == token[-1], True)) if token[0] != token[-1] else 0
+        if done or waiting and waiting[-1]["token"][-1] != token[-1]:
+            waiting.append({c: x[:done] for c, x in rows.items()})
+            yield shared(together())
+            waiting.clear()
+        waiting.append({c: x[done:] for c, x in rows.items()})
+    if waiting:
+        yield shared(together())
+
+
+def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and the set of each text."""
+    for batch in batches:
+        for part in steps(batch):
+            tokens, at = shingle_sets(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), lists(tokens.view(np.int64), np.diff(at))], names=["id", "tokens"])
+
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Bitmap of a set: each bit tells whether an odd number of tokens falls on it. Halves combine by exclusive or to the bitmap of half the size."""
+    size = LEAST_BITS
+    while size < 2 * len(tokens):
+        size *= 2
+    odd = np.bincount((mixed(tokens, SEEDS[1]) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
-def set_rows(orders: Orders, prefixes: bool = True):
+
+def signature_rows(orders: Orders):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """id, the set, with `prefixes` 16 bits of each token of its prefixes under the second and third order, and at of the input."""
+        """id, size of the set, its bitmap, and 16 bits of each token of its prefixes under the second and third order."""
         for batch in batches:
             for part in steps(batch):
                 tokens, at = shingle_sets(part.column(1).to_pylist())
-                made = [lists(tokens.view(np.int64), np.diff(at))]
-                for no in (1, 2) if prefixes else ():
-                    keys = orders.keys(tokens, orders.level(tokens), no)
+                bits = [parities(tokens[at[k] : at[k + 1]]) for k in range(part.num_rows)]
+                made = [part.column(0), pa.array(np.diff(at).astype(np.int32)), lists(np.concatenate([np.zeros(0, np.int64), *bits]), np.array([len(x) for x in bits]))]
+                level = orders.level(tokens)
+                for no in (1, 2):
+                    keys = orders.keys(tokens, level, no)
                     found = [keys[at[k] : at[k + 1]][prefix(keys[at[k] : at[k + 1]])] for k in range(part.num_rows)]
                     made.append(lists(np.concatenate([keys[:0], *found]).astype(np.uint16).view(np.int16), np.array([len(x) for x in found])))
-                yield pa.RecordBatch.from_arrays([part.column(0), *made, part.column(2)], names=["id", "tokens", "p2", "p3", "at"] if prefixes else ["id", "tokens", "at"])
+                yield pa.RecordBatch.from_arrays(made, names=["id", "n", "bits", "p2", "p3"])
 
     return rows
 
 
-def sets_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, sizes and concatenated tokens of rows with id and tokens."""
-    ids = table.column("id").to_numpy()
-    lists = table.column("tokens").combine_chunks()
-    return ids, pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+SIGNATURE = "id long, n int, bits array<long>, p2 array<short>, p3 array<short>"
+
+
+def arrays_of(table: pa.Table, name: str) -> list[np.ndarray]:
+    rows = table.column(name).combine_chunks()
+    ends = np.cumsum(pc.list_value_length(rows).to_numpy(zero_copy_only=False))
+    return np.split(pc.list_flatten(rows).to_numpy(zero_copy_only=False), ends[:-1]) if len(rows) else []
 
 
-def linked_in_block(left: pa.Table, right: pa.Table) -> pa.Table:
-    """For each document on the right the first one on the left that it links with."""
-    found: list[tuple[int, int]] = []
+def alike_in_block(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Pairs of a document on the right (u) and one on the left (v) that pass all filters, with the difference (of 1000) that their bitmaps show."""
+    a, b = LEAST
+    found: list[tuple[int, int, int]] = []
     if left.num_rows and right.num_rows:
-        ids, sizes, tokens = sets_of(left)
-        owners = np.repeat(np.arange(len(ids)), sizes)
-        order = np.argsort(tokens, kind="stable")
-        tokens, owners = tokens[order], owners[order]
-        others, lengths, theirs = sets_of(right)
-        at = 0
-        for other, n in zip(others.tolist(), lengths.tolist()):
-            own = theirs[at : at + n]
-            at += n
-            low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
-            times = high - low
-            places = np.arange(times.sum()) + np.repeat(low - (np.cumsum(times) - times), times)
-            common = np.bincount(owners[places], minlength=len(ids))
-            good = np.flatnonzero((common * LEAST[1] >= (sizes + n - common) * LEAST[0]) & (ids != other) & (sizes > 0))
-            if len(good):
-                found.append((other, int(ids[good[0]])))
-    return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
+        label = left.column("label")[0].as_py()
+        ids, sizes = left.column("id").to_numpy(), left.column("n").to_numpy().astype(np.int64)
+        # Without a sign, since bitwise_count takes absolute values.
+        bits, p2, p3 = [x.view(np.uint64) for x in arrays_of(left, "bits")], arrays_of(left, "p2"), arrays_of(left, "p3")
+        widths = np.array([len(x) for x in bits])
+        # For each width that occurs on the right: the left rows that it can be compared with, folded to it.
+        tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        theirs = zip(right.column("id").to_pylist(), right.column("n").to_pylist(), [x.view(np.uint64) for x in arrays_of(right, "bits")], arrays_of(right, "p2"), arrays_of(right, "p3"))
+        for u, n, own, own2, own3 in theirs:
+            w = len(own)
+            if w not in tables:
+                at = np.flatnonzero((widths == w) | (widths == 2 * w))
+                tables[w] = at, np.array([bits[k] if widths[k] == w else bits[k][:w] ^ bits[k][w:] for k in at], dtype=np.uint64).reshape(len(at), w)
+            at, table = tables[w]
+            differ = np.bitwise_count(table ^ own).sum(axis=1, dtype=np.int64)
+            if w % 2 == 0:
+                half = np.flatnonzero(widths * 2 == w)
+                narrow = own[: w // 2] ^ own[w // 2 :]
+                at = np.concatenate([at, half])
+                differ = np.concatenate([differ, [int(np.bitwise_count(bits[k] ^ narrow).sum()) for k in half]]).astype(np.int64)
+            fits = (differ * (a + b) <= (sizes[at] + n) * (b - a)) & (np.minimum(sizes[at], n) * b >= np.maximum(sizes[at], n) * a) & (ids[at] != u)
+            for k, d in zip(at[fits].tolist(), differ[fits].tolist()):
+                if np.isin(own2, p2[k]).any() and np.isin(own3, p3[k]).any():
+                    found.append((u, int(ids[k]), 1000 * d // (n + int(sizes[k]))))
+    else:
+        label = None
+    return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64()), "label": pa.array([label] * len(found), pa.int64()), "differ": pa.array([x[2] for x in found], pa.int64())})
 
 
 def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
@@ -331,9 +397,7 @@ def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 def components(edges: DataFrame) -> DataFrame:
     """node and label (the smallest node it can reach) for the nodes of edges (u, v), by alternating large and small stars."""
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    print_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-    before = print_of(edges)
-    while True:
+    while not stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least.hint("merge"), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -343,10 +407,15 @@ def components(edges: DataFrame) -> DataFrame:
         after = written(small.distinct(), "edges")
         forget(edges)
         forget(large)
-        edges, now = after, print_of(after)
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        before = now
+        edges = after
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+
+def stars(edges: DataFrame) -> bool:
+    """Whether every u has one v that is no u itself."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.out").alias("out"), F.max("e.into").alias("into"))
+    return nodes.where("out > 1 or (out = 1 and into = 1)").isEmpty()
 
 
 def small_or_merged(rows: DataFrame) -> DataFrame:
@@ -354,6 +423,12 @@ def small_or_merged(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows.hint("merge")
 
 
+def folded(bits: str, words) -> Column:
+    """A bitmap brought to a number of words, its own one or half of it."""
+    whole = F.col(bits)
+    return F.when(F.size(whole) == words, whole).otherwise(F.zip_with(F.slice(whole, 1, words), F.slice(whole, words + 1, words), lambda x, y: x.bitwiseXOR(y)))
+
+
 class NgramJoin:
     """The steps of the join over one table: doc_id (long) and text."""
 
@@ -361,12 +436,19 @@ class NgramJoin:
         self.docs = docs
         marks = written(docs.mapInArrow(class_rows, "kind int, doc_id long, n long, c1 long, c2 long"), "classes")
         self.orders = self.frequent(marks.where("kind = 1"))
-        rows = marks.where("kind = 0")
-        classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
-        joined = rows.join(classes.hint("merge"), ["c1", "c2"], "left")
-        self.members = written(joined.select("doc_id", "n", F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("rep"))).alias("rep")), "members")
+        self.members = written(self.classes(marks.where("kind = 0")), "members")
         forget(marks)
 
+    @staticmethod
+    def classes(rows: DataFrame) -> DataFrame:
+        """doc_id, n and rep, the smallest id of the documents of the same set (null for empty sets and null ids)."""
+        known = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+        full = rows.where(known)
+        classes = written(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
+        hot = F.broadcast(classes.where(F.col("copies") > F.lit(rows.count()) / HOT).select("c1", "c2", "rep"))
+        others = full.join(hot, ["c1", "c2"], "left_anti").join(classes.select("c1", "c2", "rep").hint("merge"), ["c1", "c2"])
+        return full.join(hot, ["c1", "c2"]).select("doc_id", "n", "rep").unionByName(others.select("doc_id", "n", "rep")).unionByName(rows.where(~known).select("doc_id", "n", F.lit(None).cast("long").alias("rep")))
+
     @staticmethod
     def frequent(counts: DataFrame) -> Orders:
         """The most frequent tokens: at most FREQUENT of them come to the driver and go to the tasks."""
@@ -388,113 +470,140 @@ class NgramJoin:
         rows = self.docs.where("doc_id is not null").mapInArrow(lambda batches: posting_rows(sent.value)(batches), "token long, salt int, c1 long, doc_id long, n int, pos int")
         dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "c1", "doc_id")
         shared = dealt.mapInArrow(shared_rows, "token long, doc_id long, n int, pos int")
-        copies = self.members.where("rep <> doc_id").select("doc_id", "rep").distinct()
+        copies = written(self.members.where("rep <> doc_id").select("doc_id", "rep").distinct(), "copies")
         found = shared.join(small_or_merged(copies), "doc_id", "left")
         return written(found.select("token", F.coalesce("rep", "doc_id").alias("rep"), "n", "pos"), "postings")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs (a, b), those of similarity LEAST or more.
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """id and text of the documents of a written table of ids."""
+        return self.docs.join(small_or_merged(ids), F.col("doc_id") == F.col("id")).select("id", "text")
 
-        Sets travel once: that of b, made from its text where its pairs are known, goes
-        to the task of a, where the filters of the other orders run before the exact count.
-        """
+    def signatures(self, ids: DataFrame) -> DataFrame:
         sent = self.docs.sparkSession.sparkContext.broadcast(self.orders)
-        schema = "id long, tokens array<long>, p2 array<short>, p3 array<short>, at array<long>"
-        few = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        return written(self.texts(written(ids.distinct(), "ids")).mapInArrow(lambda batches: signature_rows(sent.value)(batches), SIGNATURE), "signatures")
 
-        def sets(where: DataFrame, side: str) -> DataFrame:
-            """where: id and the tasks (at) that its set is for."""
-            texts = self.docs.join(F.broadcast(where) if few else where.hint("merge"), F.col("doc_id") == F.col("id")).select("doc_id", "text", "at")
-            made = texts.mapInArrow(lambda batches: set_rows(sent.value)(batches), schema)
-            return made.select("id", F.explode("at").alias("a"), *[F.col(c).alias(f"{c}_{side}") for c in ("tokens", "p2", "p3")])
+    def passing(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those whose signatures pass all filters."""
+        made = self.signatures(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
+        side = lambda x: made.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "p2", "p3")])
+        both = side("b").join(small_or_merged(pairs), "b").join(side("a").hint("merge"), "a")
+        a, b = LEAST
+        words = F.least(F.size("bits_a"), F.size("bits_b"))
+        near = F.greatest(F.size("bits_a"), F.size("bits_b")) <= 2 * words
+        differ = F.aggregate(F.zip_with(folded("bits_a", words), folded("bits_b", words), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        good = F.when(near & F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"), differ * (a + b) <= (F.col("n_a") + F.col("n_b")) * (b - a))
+        kept = written(both.where(good).select("a", "b").distinct(), "passing")
+        forget(made)
+        return kept
 
-        left = sets(pairs.select(F.col("a").alias("id"), F.array("a").alias("at")).distinct(), "a").drop("id")
-        right = sets(pairs.groupBy(F.col("b").alias("id")).agg(F.collect_list("a").alias("at")), "b")
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Links (u, v): of a written table of pairs (a, b) those of similarity LEAST or more, by their whole sets.
+
+        The sets of all b of one a meet its set in parts of about PARTNERS, so a centre
+        of many pairs is spread.
+        """
+        ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+        sets = written(self.texts(ids).mapInArrow(set_rows, "id long, tokens array<long>"), "sets")
+        parts = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")), "parts")
+        keyed = written(pairs.join(parts.hint("merge"), "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.col("b").alias("id")), "keyed")
+        right = sets.join(small_or_merged(keyed), "id").select("a", "part", F.col("id").alias("b"), F.col("tokens").alias("tokens_b"))
+        left = sets.join(small_or_merged(parts.select(F.col("a").alias("id"), "parts")), "id").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("tokens").alias("tokens_a"))
         common = F.size(F.array_intersect("tokens_a", "tokens_b"))
         union = F.size("tokens_a") + F.size("tokens_b") - common
-        linked = F.when(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"), common * LEAST[1] >= union * LEAST[0])
-        return written(right.join(left.hint("merge"), "a").where(linked).select(F.col("a").alias("u"), F.col("id").alias("v")), "links")
+        found = written(right.join(left.hint("merge"), ["a", "part"]).where(common * LEAST[1] >= union * LEAST[0]).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        for table in (ids, sets, parts, keyed):
+            forget(table)
+        return found
 
     @staticmethod
-    def may_link(x: str, y: str):
-        """Sizes allow the similarity, and so do the places of a pair's first shared token."""
-        a, b = LEAST
-        nx, ny = F.col(f"{x}_n"), F.col(f"{y}_n")
-        left = F.least(nx - F.col(f"{x}_pos"), ny - F.col(f"{y}_pos"))
-        return (F.least(nx, ny) * b >= F.greatest(nx, ny) * a) & (left * (a + b) >= (nx + ny) * a)
+    def labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
+        """Postings with label and size of the component (a document without links: itself and 1)."""
+        sizes = labels.groupBy("label").agg((F.count("*") + 1).alias("size"))
+        nodes = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+        known = written(nodes.join(sizes.hint("merge"), "label").select(F.col("node").alias("rep"), "label", "size"), "known")
+        rows = postings.join(small_or_merged(known), "rep", "left")
+        return rows.select("token", "rep", "n", "pos", F.coalesce("label", "rep").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
 
     @staticmethod
-    def open_rows(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """Postings with label, single (no links yet) and major (the token's commonest label), of tokens whose holders have several labels."""
-        rows = postings.withColumns({"label": F.col("rep"), "single": F.lit(True)})
-        if labels is not None:
-            known = small_or_merged(labels.select(F.col("node").alias("rep"), F.col("label").alias("_l")).unionByName(labels.select(F.col("label").alias("rep"), F.col("label").alias("_l")).distinct()))
-            rows = postings.join(known, "rep", "left").withColumns({"label": F.coalesce("_l", "rep"), "single": F.col("_l").isNull()}).drop("_l")
-        counts = rows.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count("*").alias("labels"))
-        tokens = written(counts.where("labels > 1").select("token", "major"), "open_tokens")
+    def open_rows(rows: DataFrame) -> DataFrame:
+        """Labelled postings of tokens whose holders have several labels, with major: the label of the largest component among them."""
+        tokens = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("size", "label")).alias("m"))
+        tokens = written(tokens.where("low <> high").select("token", F.col("m.label").alias("major")), "open_tokens")
         return rows.join(small_or_merged(tokens), "token")
 
-    def star_pairs(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Candidate pairs (a, b) of each token's centre, its holder of smallest hash in this turn, and its other holders."""
-        centres = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "pos", "label")).alias("c"))
+    @staticmethod
+    def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
+        """Candidate pairs (a, b) of each token's centre and its other holders. The centre is the holder with least before the token at first, which is nearest to what all share; later one by hash."""
+        rank = F.col("pos") if turn == 0 else F.lit(0)
+        centres = rows.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "pos", "label")).alias("c"))
         left = centres.select("token", *[F.col(f"c.{c}").alias(f"x_{c}") for c in ("rep", "n", "pos", "label")])
         right = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "pos", "label")])
-        pairs = right.join(left.hint("merge"), "token").where(F.col("x_label") != F.col("y_label")).where(self.may_link("x", "y"))
+        a, b = LEAST
+        nx, ny = F.col("x_n"), F.col("y_n")
+        fits = (F.least(nx, ny) * b >= F.greatest(nx, ny) * a) & (F.least(nx - F.col("x_pos"), ny - F.col("y_pos")) * (a + b) >= (nx + ny) * a)
+        pairs = right.join(left.hint("merge"), "token").where(F.col("x_label") != F.col("y_label")).where(fits)
         return written(pairs.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct(), "pairs")
 
     @staticmethod
     def open_components(rows: DataFrame) -> DataFrame:
-        """x and label: documents outside a token's commonest component, and components of other holders that sizes and places allow a link with."""
+        """x, label and size: documents outside a token's major component, and components of other holders that sizes and places allow a link with.
+
+        Of two components outside the major one, the holders in that of larger label ask for the other.
+        """
         a, b = LEAST
-        held = rows.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.bool_and("single").alias("alone"))
-        minor = rows.where("label <> major").select("token", "major", F.col("rep").alias("x"), F.col("label").alias("own"), "n", "pos", "single")
-        both = minor.join(held.hint("merge"), "token").where("own <> label")
+        held = rows.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("size").alias("size"))
+        minor = rows.where("label <> major").select("token", "major", F.col("rep").alias("x"), F.col("label").alias("own"), "n", "pos")
+        both = minor.join(held.hint("merge"), "token").where((F.col("label") < F.col("own")) | ((F.col("label") == F.col("major")) & (F.col("label") != F.col("own"))))
         fits = (F.col("most") * b >= F.col("n") * a) & (F.col("n") * b >= F.col("least") * a) & (F.least(F.col("n") - F.col("pos"), F.col("rest")) * (a + b) >= (F.col("n") + F.col("least")) * a)
-        # Two documents without links are compared once, the larger id with the smaller. The major one has no row of its own, so its pairs come from the other side alone.
-        pair = F.col("single") & F.col("alone")
-        once = ~pair | (F.col("x") > F.col("label")) | (F.col("label") == F.col("major"))
-        larger, smaller = F.when(pair, F.greatest("x", "label")).otherwise(F.col("x")), F.when(pair, F.least("x", "label")).otherwise(F.col("label"))
-        return written(both.where(fits & once).select(larger.alias("x"), smaller.alias("label")).distinct(), "open")
-
-    def block_links(self, wanted: DataFrame, labels: DataFrame) -> DataFrame:
-        """A link (u, v) of each x with each of its wanted components that has any."""
-        sent = self.docs.sparkSession.sparkContext.broadcast(self.orders)
-        counts = wanted.groupBy("label").agg(F.count("*").alias("xs"))
+        return written(both.where(fits).select("x", "label", "size").distinct(), "open")
+
+    def passing_in_blocks(self, wanted: DataFrame, labels: DataFrame) -> DataFrame:
+        """u, v, label, differ: each x (u) of wanted (x, label) with the members (v) of its components whose signatures pass all filters."""
+        counts = written(wanted.groupBy("label").agg(F.count("*").alias("xs")), "counts")
         nodes = labels.select("node", "label").unionByName(counts.select(F.col("label").alias("node"), "label"))
-        members = nodes.join(small_or_merged(counts), "label")
-        sizes = members.groupBy("label").agg(F.count("*").alias("ys"), F.max("xs").alias("xs"))
-        sizes = written(sizes.select("label", F.ceil(F.col("ys") / BLOCK).cast("int").alias("yb"), F.ceil(F.col("xs") / BLOCK).cast("int").alias("xb")), "sizes")
-        plan = small_or_merged(sizes)
+        members = written(nodes.join(small_or_merged(counts), "label").select("node", "label"), "block_members")
+        sizes = members.groupBy("label").agg(F.count("*").alias("ys")).join(counts.hint("merge"), "label")
+        plan = small_or_merged(written(sizes.select("label", F.ceil(F.col("ys") / BLOCK).cast("int").alias("ny"), F.ceil(F.col("xs") / BLOCK).cast("int").alias("nx")), "sizes"))
+        made = self.signatures(members.select(F.col("node").alias("id")).unionByName(wanted.select(F.col("x").alias("id"))))
         own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-        every = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
-        block = lambda y, x: F.struct(F.col("label").alias("label"), y.alias("yb"), x.alias("xb"))
-        left = members.select("node", "label").distinct().join(plan, "label").select(F.col("node").alias("id"), every("xb", lambda k: block(own("node", "yb"), k)).alias("at"))
-        right = wanted.join(plan, "label").select(F.col("x").alias("id"), every("yb", lambda k: block(k, own("x", "xb"))).alias("at")).groupBy("id").agg(F.flatten(F.collect_list("at")).alias("at"))
-
-        def sets(where: DataFrame) -> DataFrame:
-            texts = self.docs.join(small_or_merged(where), F.col("doc_id") == F.col("id")).select("doc_id", "text", "at")
-            made = texts.mapInArrow(lambda batches: set_rows(sent.value, False)(batches), "id long, tokens array<long>, at array<struct<label:long,yb:int,xb:int>>")
-            return made.select("id", "tokens", F.explode("at").alias("k")).select("k.*", "id", "tokens").groupBy("label", "yb", "xb")
-
-        return written(sets(left).cogroup(sets(right)).applyInArrow(linked_in_block, "u long, v long"), "links")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = members.join(plan, "label").select(F.col("node").alias("id"), "label", own("node", "ny").alias("yb"), every("nx").alias("xb"))
+        right = wanted.join(plan, "label").select(F.col("x").alias("id"), "label", own("x", "nx").alias("xb"), every("ny").alias("yb"))
+        keys = ["label", "yb", "xb"]
+        # The sides are made by explode: they are written out, so that their size is known.
+        columns = lambda: [F.col(c).alias(c) for c in made.columns]
+        sides = [made.select(*columns()).join(small_or_merged(written(side, "side")), "id").groupBy(*keys) for side in (left, right)]
+        found = written(sides[0].cogroup(sides[1]).applyInArrow(alike_in_block, "u long, v long, label long, differ long"), "alike")
+        forget(made)
+        return found
+
+    def last_links(self, wanted: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links (u, v), at least one for each x and component of wanted that have any."""
+        pair = self.passing(wanted.where("size = 1").select(F.col("label").alias("a"), F.col("x").alias("b")))
+        alike = self.passing_in_blocks(wanted.where("size > 1").select("x", "label"), labels)
+        best = alike.groupBy("u", "label").agg(F.min_by("v", F.struct("differ", "v")).alias("v"))
+        first = self.verified(written(pair.unionByName(best.select(F.col("v").alias("a"), F.col("u").alias("b"))), "first"))
+        done = first.select(F.col("u").alias("v"), F.col("v").alias("u"))
+        tried = best.select("u", "label", F.col("v").alias("tried")).join(done.withColumn("linked", F.lit(True)).withColumnRenamed("v", "tried").hint("merge"), ["u", "tried"], "left")
+        left = alike.join(tried.hint("merge"), ["u", "label"]).where("linked is null and v <> tried")
+        rest = written(left.select(F.col("v").alias("a"), F.col("u").alias("b")), "rest")
+        return first if rest.isEmpty() else first.unionByName(self.verified(rest))
 
     def links(self) -> DataFrame:
         """node and label of all classes that have links."""
         postings = self.postings()
         labels = None
         for turn in range(STAR_ROUNDS):
-            found = self.verified(self.star_pairs(self.open_rows(postings, labels), turn))
-            labels = self.joined(found, labels)
-        wanted = self.open_components(self.open_rows(postings, labels))
-        labels = self.joined(self.block_links(wanted, labels), labels)
+            rows = postings.withColumns({"label": F.col("rep"), "size": F.lit(1)}) if labels is None else self.open_rows(self.labelled(postings, labels))
+            labels = self.joined(self.verified(self.passing(self.star_pairs(rows, turn))), labels)
+        wanted = self.open_components(self.open_rows(self.labelled(postings, labels)))
+        labels = self.joined(self.last_links(wanted, labels), labels)
         forget(postings)
         return labels
 
-    def joined(self, found: DataFrame, labels: DataFrame | None) -> DataFrame:
-        both = found if labels is None else found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
-        out = components(both)
-        collect_garbage(self.docs.sparkSession)
-        return out
+    @staticmethod
+    def joined(found: DataFrame, labels: DataFrame | None) -> DataFrame:
+        return components(found if labels is None else found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles and component_id of every document."""
@@ -509,10 +618,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that another one stands for: of each component the smallest id stays."""
-    found = near_duplicates(docs, id_col, text_col)
+    """docs without those that another one stands for: of each component the smallest id stays, and of several rows with that id the first by their hash. Rows with a null id all stay."""
+    found = written(near_duplicates(docs, id_col, text_col), "found")
+    key = F.col(id_col).cast("long")
     gone = written(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(small_or_merged(gone), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    kept = docs.join(small_or_merged(gone), key == gone["_gone"], "left_anti")
+    again = written(found.groupBy(F.col("doc_id").alias("_again")).count().where("count > 1 and _again is not null").select("_again"), "again")
+    if again.isEmpty():
+        return kept
+    several = small_or_merged(again)
+    alone = kept.join(several, key == again["_again"], "left_anti")
+    rows = kept.join(several, key == again["_again"], "left_semi")
+    order = Window.partitionBy(key).orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))), F.to_json(F.struct(*docs.columns)))
+    return alone.unionByName(rows.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
