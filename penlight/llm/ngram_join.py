@@ -47,10 +47,10 @@ from penlight.llm._shared import forget, written
 WORDS = 5
 #: Least similarity as a fraction.
 LEAST = (3, 4)
-#: Most tokens that count as frequent, and their least frequency. They only shape the orders: no token or pair is left out.
-FREQUENT, FREQUENT_FROM = 50_000, 16
+#: Most tokens that count as frequent, their least frequency, and the level (power of two) from which their postings are salted. They only shape the orders: no token or pair is left out.
+FREQUENT, FREQUENT_FROM, SALTED_FROM = 200_000, 4, 4
 #: Classes that a task remembers, bytes and documents that it hashes at once, tokens that it counts at once.
-REMEMBERED, STEP_BYTES, STEP, COUNTED = 300_000, 1_000_000, 1_000, 2_000_000
+REMEMBERED, STEP_BYTES, STEP, COUNTED = 300_000, 500_000, 1_000, 3_000_000
 #: Salts of a frequent token's postings.
 SALTS = 1_009
 #: Rows up to which ids and pairs are sent to all tasks; beyond, a shuffle joins them.
@@ -203,10 +203,9 @@ def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Orders:
     """The global orders of tokens."""
 
-    def __init__(self, tokens: list[int], levels: list[int]):
-        known = np.array(tokens, dtype=np.int64)
-        order = np.argsort(known)
-        self.tokens, self.levels = known[order], np.array(levels, dtype=np.uint64)[order]
+    def __init__(self, tokens: np.ndarray, levels: np.ndarray):
+        order = np.argsort(tokens)
+        self.tokens, self.levels = tokens[order], levels[order].astype(np.uint64)
 
     def level(self, tokens: np.ndarray) -> np.ndarray:
         """0 for tokens that are not frequent, below 64 for all."""
@@ -237,7 +236,7 @@ def posting_rows(orders: Orders):
             sizes = np.array([len(p) for p in places])
             place, rows = np.concatenate(places), np.array(fresh)
             doc = np.array([ids[k] for k in fresh], np.int64)
-            often = level[place] > 0
+            often = level[place] >= SALTED_FROM
             who = np.repeat(doc, sizes)
             columns = [
                 tokens[place].view(np.int64),
@@ -459,9 +458,11 @@ class NgramJoin:
             if total > FREQUENT:
                 break
             least = level
-        rows = tokens.where(F.col("level") >= least).select("token", "level").collect() if least is not None else []
+        if least is None:
+            return Orders(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        rows = tokens.where(F.col("level") >= least).select("token", "level").toArrow()
         forget(tokens)
-        return Orders([r[0] for r in rows], [r[1] for r in rows])
+        return Orders(rows.column("token").to_numpy(), rows.column("level").to_numpy())
 
     def postings(self) -> DataFrame:
         """token, rep, n and pos: the prefixes under the first order, without tokens that only one class has."""
@@ -486,27 +487,35 @@ class NgramJoin:
         """Of pairs (a, b) those whose signatures pass all filters."""
         made = self.signatures(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
         side = lambda x: made.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "p2", "p3")])
-        both = side("b").join(small_or_merged(pairs), "b").join(side("a").hint("merge"), "a")
+        parts, keyed = self.dealt(pairs)
+        left = side("a").join(small_or_merged(parts), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        both = side("b").join(small_or_merged(keyed), "b").join(left.hint("merge"), ["a", "part"])
         a, b = LEAST
         words = F.least(F.size("bits_a"), F.size("bits_b"))
         near = F.greatest(F.size("bits_a"), F.size("bits_b")) <= 2 * words
         differ = F.aggregate(F.zip_with(folded("bits_a", words), folded("bits_b", words), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         good = F.when(near & F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"), differ * (a + b) <= (F.col("n_a") + F.col("n_b")) * (b - a))
         kept = written(both.where(good).select("a", "b").distinct(), "passing")
-        forget(made)
+        for table in (made, parts, keyed):
+            forget(table)
         return kept
 
+    @staticmethod
+    def dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of pairs (a, b): a with the number of its parts, about one for PARTNERS pairs, and the pairs with their part. A centre of many pairs is spread by them."""
+        parts = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")), "parts")
+        keyed = pairs.join(small_or_merged(parts), "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
+        return parts, written(keyed, "keyed")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Links (u, v): of a written table of pairs (a, b) those of similarity LEAST or more, by their whole sets.
 
-        The sets of all b of one a meet its set in parts of about PARTNERS, so a centre
-        of many pairs is spread.
+        The sets of the b of one a meet its set in parts (see dealt).
         """
         ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
         sets = written(self.texts(ids).mapInArrow(set_rows, "id long, tokens array<long>"), "sets")
-        parts = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")), "parts")
-        keyed = written(pairs.join(parts.hint("merge"), "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.col("b").alias("id")), "keyed")
-        right = sets.join(small_or_merged(keyed), "id").select("a", "part", F.col("id").alias("b"), F.col("tokens").alias("tokens_b"))
+        parts, keyed = self.dealt(pairs)
+        right = sets.join(small_or_merged(keyed), F.col("id") == F.col("b")).select("a", "part", "b", F.col("tokens").alias("tokens_b"))
         left = sets.join(small_or_merged(parts.select(F.col("a").alias("id"), "parts")), "id").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("tokens").alias("tokens_a"))
         common = F.size(F.array_intersect("tokens_a", "tokens_b"))
         union = F.size("tokens_a") + F.size("tokens_b") - common
