@@ -86,16 +86,22 @@ class ChunkIds(dict):
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of whole texts with the end id; chunks not seen before go to the tokenizer together."""
         parts = [self.chunks(t) for t in texts]
-        new = set().union(*parts).difference(self)
-        if len(self) + len(new) > REMEMBERED:
+        flat = [c for p in parts for c in p]
+        if len(self) > REMEMBERED:
             self.clear()
-            new = set().union(*parts)
+        found = list(map(self.get, flat))
+        lacking = [i for i, x in enumerate(found) if x is None]
+        new = {flat[i] for i in lacking}
         self.learn(list(new))
-        end = END.to_bytes(2, "little")
-        out = [np.frombuffer(b"".join(map(self.__getitem__, p)) + end, dtype="<u2") for p in parts]
+        for i in lacking:
+            found[i] = self[flat[i]]
         for chunk in new:
             if len(chunk) > LONGEST:
                 del self[chunk]
+        end, at, out = END.to_bytes(2, "little"), 0, []
+        for p in parts:
+            out.append(np.frombuffer(b"".join(found[at : at + len(p)]) + end, dtype="<u2"))
+            at += len(p)
         return out
 
     def learn(self, chunks: list[str]) -> None:
