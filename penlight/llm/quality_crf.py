@@ -5,37 +5,47 @@ bad (0) or good (1) given the lines around it. A document's score is the mean of
 lines' forward-backward marginals for good, weighted by the lines' lengths, on a scale
 of probabilities that is fitted to the documents' labels.
 
-Fitting: labels exist for documents, so each line of a labelled document bears its
-document's label, and the field is fitted to them by penalised maximum likelihood. It
-sees a bounded sample (`SAMPLE` labelled documents of smallest id hash, the first
-`FIT_LINES` lines of each); scoring reads every line of every text.
+Fitting: labels exist for documents only, so the labels of lines are latent. A
+document's label is evidence for each of its lines that is right with probability
+`EVIDENCE`: the field is fitted by the difference between the expected counts of labels
+and of moves given that evidence and those without it, so a bad document may keep good
+lines and the moves between labels inside a document are learned. It sees a bounded
+sample of documents (`SAMPLE` labelled ones of smallest id hash) with all their lines;
+in fitting a chain longer than `RUN` lines is cut there, its lines all stay. The scale is
+fitted on whole chains, as scoring uses them.
 
 Nulls and edges: a null, empty or blank text is one empty line and gets that line's
 marginal; labels other than 0 and 1 and labels without a document are not learned from;
 with no labels of both kinds the score is the share of label 1 (0.5 with none); repeated
 rows are rows of their own; an empty table gives an empty result; input columns that
-bear the name of an output column are replaced.
+bear the name of an output column are replaced; very long texts are read whole, in
+steps of bounded size.
 """
 
 from __future__ import annotations
 
 import operator
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penlight.llm._shared import held_out, sample_limit
 
-SAMPLE, FIT_LINES = 2_500, 60
+SAMPLE, EVIDENCE, RUN = 2_500, 0.9, 256
 ROUNDS, STEP, PENALTY = 140, 0.1, 1e-3
 #: From this score on a document is predicted good.
 GOOD = 0.7
+#: Texts and bytes of text that are scored together.
+TEXTS, BYTES = 512, 1_000_000
 SYMBOLS, DIGITS, RUNS = re.compile(r"[^\w\s]"), re.compile(r"[0-9]"), re.compile(r"[^\w\s.,]{2,}|[^\w\s]{3,}")
+FEATURES = 12
 
 
 def line_features(line: str, times: int) -> tuple[float, ...]:
@@ -43,7 +53,7 @@ def line_features(line: str, times: int) -> tuple[float, ...]:
     words = line.split()
     n, size = len(words), len(line)
     if not n:
-        return (0.0,) * 12
+        return (0.0,) * FEATURES
     return (
         float(np.log1p(n)),
         sum(map(str.isupper, words)) / n,
@@ -60,34 +70,45 @@ def line_features(line: str, times: int) -> tuple[float, ...]:
     )
 
 
-def document_lines(text: str | None) -> tuple[list[tuple[float, ...]], list[int]]:
-    lines = [x for x in (text or "").split("\n") if x.strip()] or [""]
-    times = Counter(lines)
-    return [line_features(x, times[x]) for x in lines], [max(len(x), 1) for x in lines]
+def document_lines(text: str | None) -> list[str]:
+    return [x for x in (text or "").split("\n") if x.strip()] or [""]
 
 
-class Batch:
-    """Lines of several documents, one after another, and where each document's lines are."""
+class Chains:
+    """Runs of lines, one after another: where each begins and how many lines it has."""
 
-    def __init__(self, texts, most: int | None = None):
-        rows, weights, self.sizes = [], [], []
-        for text in texts:
-            found, sizes = document_lines(text)
-            rows += found[:most]
-            weights += sizes[:most]
-            self.sizes.append(len(found[:most]))
-        self.own = np.array(rows, dtype=float).reshape(len(rows), -1)
-        self.weights = np.array(weights, dtype=float)
-        self.sizes = np.array(self.sizes, dtype=int)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(int) if len(self.sizes) else self.sizes
-        # Documents with most lines first: at step t of the chain the active ones are a prefix.
-        self.order = np.argsort(-self.sizes, kind="stable")
-        self.active = [int((self.sizes > t).sum()) for t in range(int(self.sizes.max(initial=0)))]
+    def __init__(self, sizes: np.ndarray):
+        self.sizes = sizes
+        self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int) if len(sizes) else sizes
+        # Chains with most lines first: at step t the active ones are a prefix.
+        self.order = np.argsort(-sizes, kind="stable")
+        self.active = [int((sizes > t).sum()) for t in range(int(sizes.max(initial=0)))]
 
     def at(self, t: int) -> np.ndarray:
-        """Row numbers of the t-th line of the active documents."""
+        """Row numbers of the t-th line of the active chains."""
         return self.starts[self.order[: self.active[t]]] + t
 
+    def cut(self, most: int) -> Chains:
+        """The same lines in chains of at most `most`."""
+        return Chains(np.array([min(most, n - k) for n in self.sizes.tolist() for k in range(0, n, most)], dtype=int))
+
+
+class Batch(Chains):
+    """The lines of several documents with their features and lengths; a chain for each document."""
+
+    def __init__(self, texts):
+        rows, weights, sizes = array("d"), array("d"), []
+        for text in texts:
+            lines = document_lines(text)
+            times = Counter(lines)
+            for line in lines:
+                rows.extend(line_features(line, times[line]))
+                weights.append(max(len(line), 1))
+            sizes.append(len(lines))
+        super().__init__(np.array(sizes, dtype=int))
+        self.own = np.array(rows).reshape(-1, FEATURES)
+        self.weights = np.array(weights)
+
 
 class LineField:
     """weights: features by label; moves: label to label."""
@@ -106,19 +127,19 @@ class LineField:
         previous[batch.starts], following[batch.starts + batch.sizes - 1] = 0, 0
         return np.hstack([np.ones((n, 1)), own, own**2, previous, following, first, last])
 
-    def chain(self, emission: np.ndarray, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+    def chain(self, emission: np.ndarray, chains: Chains) -> tuple[np.ndarray, np.ndarray]:
         """Marginals of labels by line, and the expected number of moves; by forward-backward with scaled sums."""
         e = np.exp(emission - emission.max(axis=1, keepdims=True))
         m = np.exp(self.moves)
         ahead, back, scale = np.empty_like(e), np.ones_like(e), np.ones(len(e))
-        for t in range(len(batch.active)):
-            i = batch.at(t)
+        for t in range(len(chains.active)):
+            i = chains.at(t)
             a = e[i] if t == 0 else (ahead[i - 1] @ m) * e[i]
             scale[i] = a.sum(axis=1)
             ahead[i] = a / scale[i][:, None]
         counted = np.zeros((2, 2))
-        for t in range(len(batch.active) - 1, 0, -1):
-            i = batch.at(t)
+        for t in range(len(chains.active) - 1, 0, -1):
+            i = chains.at(t)
             right = e[i] * back[i] / scale[i][:, None]
             back[i - 1] = right @ m.T
             counted += (ahead[i - 1].T @ right) * m
@@ -153,26 +174,25 @@ class LineField:
 
 
 def fit(texts: list[str | None], labels: list[int]) -> LineField:
-    """Penalised maximum likelihood by Adam steps on the whole sample."""
+    """Penalised maximum likelihood of the documents' labels, the lines' labels latent, by Adam steps on the whole sample."""
     y = np.array(labels, dtype=int)
     if not len(y) or y.min() == y.max():
         return LineField(None, None, None, None, float(y.mean()) if len(y) else 0.5)
-    batch = Batch(texts, FIT_LINES)
+    batch = Batch(texts)
+    chains = batch.cut(RUN)
     spread = batch.own.std(axis=0)
     field = LineField(batch.own.mean(axis=0), np.where(spread > 0, spread, 1.0), None, np.zeros((2, 2)))
     x = field.design(batch)
     field.weights = np.zeros((x.shape[1], 2))
-    line_labels = np.repeat(y, batch.sizes)
-    truth = np.eye(2)[line_labels]
-    seen = np.zeros((2, 2))
-    for label in (0, 1):
-        seen[label, label] = (batch.sizes[y == label] - 1).sum()
+    evidence = np.log(EVIDENCE / (1 - EVIDENCE)) * np.eye(2)[np.repeat(y, batch.sizes)]
     total = len(x)
     moment = [np.zeros_like(field.weights), np.zeros((2, 2))]
     square = [np.zeros_like(field.weights), np.zeros((2, 2))]
     for k in range(1, ROUNDS + 1):
-        marginals, counted = field.chain(x @ field.weights, batch)
-        slopes = [x.T @ (marginals - truth) / total + PENALTY * field.weights, (counted - seen) / total + PENALTY * field.moves]
+        emission = x @ field.weights
+        free, counted = field.chain(emission, chains)
+        given, seen = field.chain(emission + evidence, chains)
+        slopes = [x.T @ (free - given) / total + PENALTY * field.weights, (counted - seen) / total + PENALTY * field.moves]
         for j, (value, slope) in enumerate(((field.weights, slopes[0]), (field.moves, slopes[1]))):
             moment[j] = 0.9 * moment[j] + 0.1 * slope
             square[j] = 0.999 * square[j] + 0.001 * slope**2
@@ -188,22 +208,31 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if limit is None:
         return fit([], [])
     chosen = usable.where(F.xxhash64("_id") <= limit)
-    texts = docs.where(F.xxhash64(id_col) <= limit).select(F.col(id_col), F.col(text_col))
+    texts = docs.where(F.xxhash64(id_col) <= limit).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     # Both sides hold about `sample` rows of the hash range.
-    rows = texts.join(chosen.hint("shuffle_hash"), texts[id_col] == chosen["_id"]).orderBy("_id").limit(sample).select(text_col, "_label")
+    rows = texts.join(chosen.hint("shuffle_hash"), F.col("_doc") == F.col("_id")).orderBy("_id", "_text", "_label").limit(sample).select("_text", "_label")
     found = [(r[0], r[1]) for r in rows.toLocalIterator()]
     return fit([t for t, _ in found], [y for _, y in found])
 
 
+def portions(texts: pa.Array) -> Iterator[list[str | None]]:
+    """Parts of at most TEXTS texts and about BYTES bytes, whole texts each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        done = ends[at - 1] if at else 0
+        n = max(1, min(TEXTS, int(np.searchsorted(ends, done + BYTES, side="right")) - at))
+        yield texts.slice(at, n).to_pylist()
+        at += n
+
+
 def scored(docs: DataFrame, field: LineField, text_col: str = "text") -> DataFrame:
     """docs with score and predicted. The field that goes to the tasks has some dozens of numbers."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            # Small steps keep the features of very long texts from meeting in memory.
-            parts = [field.scores(texts.iloc[i : i + 512]) for i in range(0, len(texts), 512)]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+            yield pa.array(np.concatenate([np.zeros(0), *map(field.scores, portions(texts))]))
 
     kept = docs.drop("score", "predicted")
     return kept.withColumn("score", score(text_col)).withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
