@@ -19,7 +19,6 @@ import heapq
 import json
 import re
 import struct
-import unicodedata
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -28,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks and pieces that a worker remembers, and the longest of them.
@@ -36,6 +36,8 @@ CHUNKS, PIECES, LONGEST = 300_000, 500_000, 48
 ROWS_OUT = 500
 #: What str.split() takes for white space and the vocabulary's pattern does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Characters on whose case, class and normal form all versions of Unicode agree; only capital I with a dot changes its length.
+LATIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]*")
 
 
 def byte_symbols() -> list[str]:
@@ -62,6 +64,8 @@ class Codec(dict):
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
         self.ranks = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.symbols = byte_symbols()
+        # Only what it knows of Unicode is asked for: normal forms, and the classes of letters outside LATIN.
+        self.library = Tokenizer.from_file(path)
         self.pieces_known: dict[str, tuple[bytes, str]] = {}
 
     def merged(self, piece: str) -> list[int]:
@@ -102,9 +106,11 @@ class Codec(dict):
     def special_or_plain(self, part: str) -> list[tuple[bytes, str]]:
         if part in self.special:
             return [(struct.pack("<I", self.special[part]), part)]
-        # Letter by letter as the vocabulary's normalizer does: no rule for a final sigma.
-        plain = (part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")).lower()
-        return [self.piece(x) for x in ((plain,) if plain.isalpha() else self.pieces.findall(plain))]
+        if LATIN.fullmatch(part):
+            plain = part.lower()
+            return [self.piece(x) for x in ((plain,) if plain.isalpha() else self.pieces.findall(plain))]
+        plain = self.library.normalizer.normalize_str(part)
+        return [self.piece(plain[a:b]) for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(plain)]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.strings[i] for i in ids)
