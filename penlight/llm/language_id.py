@@ -32,10 +32,12 @@ from penlight.llm._shared import held_out, sample_limit
 SAMPLE = 3_000
 WORDS, GRAMS = 60_000, 40_000
 ORDER = 4
-#: What an unseen event counts as, the longest word whose n-grams are learned, and the words that a worker remembers between documents.
-ADDED, LONGEST, REMEMBERED = 0.5, 40, 300_000
+#: What an unseen event counts as, and the words that a worker remembers between documents.
+ADDED, REMEMBERED = 0.5, 300_000
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Code points of \\w that are numbers but no digits, such as superscripts, fractions and Roman numerals; they are no letters either.
+NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 
 
 def grams(word: str) -> Iterator[str]:
@@ -58,7 +60,7 @@ class LanguageModel(dict):
         pieces: dict[str, Counter] = {lang: Counter() for lang in self.languages}
         for lang, counts in words.items():
             for word, n in counts.items():
-                for g in grams(word) if len(word) <= LONGEST else ():
+                for g in grams(word):
                     pieces[lang][g] += n
         self.known = self.table(words, at, WORDS)
         vectors = self.table(pieces, at, GRAMS)
@@ -73,6 +75,8 @@ class LanguageModel(dict):
         kept = [k for k, n in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most] if n > 1 or len(k) == 1]
         sums = np.array([sum(counts[lang].values()) for lang in self.languages], dtype=float)
         made = np.array([[counts[lang][k] for lang in self.languages] for k in kept], dtype=float).reshape(len(kept), len(at))
+        if not kept:
+            return {}
         logs = np.log((made + ADDED) / (sums + ADDED * (len(kept) + 1)))
         # Only differences between languages matter; this keeps long texts within range.
         return dict(zip(kept, logs - logs.mean(axis=1, keepdims=True)))
@@ -114,7 +118,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     limit = sample_limit(rows.select(id_col), id_col, sample)
     if limit is None:
         return LanguageModel([])
-    chosen = rows.where(F.xxhash64(id_col) <= limit).select(lang_col, text_col).limit(sample)
+    chosen = rows.where(F.xxhash64(id_col) <= limit).orderBy(id_col, lang_col, text_col).limit(sample).select(lang_col, text_col)
     return LanguageModel([(r[0], r[1]) for r in chosen.toLocalIterator()])
 
 
