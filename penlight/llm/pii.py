@@ -1,8 +1,8 @@
 """Operator 6: personal data, by patterns, checksums and context words. DataFrame functions only.
 
 A regular expression proposes spans of a kind, a validator confirms them (Luhn for card
-numbers, mod 97 for IBANs, value and digit bounds for addresses and phones), and words
-shortly before a span raise its score. The base kinds (email, ip, card, phone) have fixed
+numbers, mod 97 for IBANs, value and digit bounds for addresses and phones), and whole words
+shortly before or after a span raise its score. The base kinds (email, ip, card, phone) have fixed
 meanings and always stay; iban and ssn count from a score of `THRESHOLD` on.
 
 Patterns are written so that a scan stays linear on any text: quantifiers are possessive
@@ -32,7 +32,7 @@ BASE = ("email", "ip", "card", "phone")
 # Score of a confirmed span, and words that raise it when one stands shortly before.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3}
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
+    "email": ("mail", "email", "e-mail", "contact", "write"),
     "ip": ("ip", "address", "host", "server"),
     "card": ("card", "visa", "credit", "payment"),
     "phone": ("phone", "call", "tel", "mobile"),
@@ -40,7 +40,7 @@ CONTEXT = {
     "ssn": ("ssn", "social", "security", "taxpayer"),
 }
 BOOST, THRESHOLD = 0.3, 0.5
-#: Code points before a span in which context words count.
+#: Code points before and after a span in which context words count, as far as the next span of its kind.
 WINDOW = 48
 SPANS = "array<struct<start:int,kind_no:int,kind:string,end:int,score:double>>"
 
@@ -73,56 +73,65 @@ def confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def score(kind: str, text: Column, start: Column) -> Column:
-    begin = F.greatest(start - WINDOW, F.lit(0))
-    before = F.lower(F.substr(text, begin + 1, start - begin))
-    near = before.rlike("(?:" + "|".join(CONTEXT[kind]) + ")")
+def score(kind: str, before: Column, after: Column) -> Column:
+    near = F.lower(F.concat(before, F.lit(" | "), after)).rlike("(?<![a-z])(?:" + "|".join(CONTEXT[kind]) + ")s?(?![a-z])")
     return F.least(F.lit(SCORES[kind]) + F.when(near, BOOST).otherwise(0.0), F.lit(1.0))
 
 
-def kind_spans(kind: str, text: Column, found: Column, pieces: Column) -> Column:
+def kind_spans(kind: str, found: Column, pieces: Column) -> Column:
     """Spans of one kind. found: the matches in order; pieces: the text between them. The offset of a match is the length of all before it."""
     no = list(PATTERNS).index(kind)
-    pairs = F.arrays_zip(found.alias("m"), F.slice(pieces, 1, F.size(found)).alias("p"))
+    pairs = F.arrays_zip(found.alias("m"), F.slice(pieces, 1, F.size(found)).alias("p"), F.slice(pieces, 2, F.size(found)).alias("q"))
     place = F.aggregate(
         pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>").alias("out")),
         lambda acc, x: F.struct(
             (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["p"])).alias("start"), (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end"), x["m"].alias("value"))).alias("out"),
+            F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["p"])).alias("start"), (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end"), x["m"].alias("value"), F.right(x["p"], F.lit(WINDOW)).alias("before"), F.left(x["q"], F.lit(WINDOW)).alias("after"))).alias("out"),
         ),
         lambda acc: acc["out"],
     )
     good = F.filter(place, lambda s: confirmed(kind, s["value"]))
-    spans = F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), s["end"].alias("end"), score(kind, text, s["start"]).alias("score")))
+    spans = F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), s["end"].alias("end"), score(kind, s["before"], s["after"]).alias("score")))
     if kind not in BASE:
         spans = F.filter(spans, lambda s: s["score"] >= THRESHOLD)
     return F.when(F.size(found) > 0, spans.cast(SPANS)).otherwise(F.array().cast(SPANS))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """name, with marks in front until no column begins with it."""
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name = "_" + name
+    return name
+
+
 def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with pii: the spans of all kinds by start, then kind: start, kind_no, kind, end (code points, exclusive) and score."""
     docs = docs.drop("pii")
+    own = unused(docs, "_match")
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<string>")
-    held = docs.withColumns({f"_m_{k}": F.when(may_hold(k, text), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for k, p in PATTERNS.items()})
-    split = held.withColumns({f"_p_{k}": F.when(F.size(f"_m_{k}") > 0, F.split(text, p, -1)).otherwise(none) for k, p in PATTERNS.items()})
-    spans = F.array_sort(F.concat(*[kind_spans(k, text, F.col(f"_m_{k}"), F.col(f"_p_{k}")) for k in PATTERNS]))
-    return split.withColumn("pii", spans).drop(*[f"_{x}_{k}" for x in "mp" for k in PATTERNS])
+    held = docs.withColumns({f"{own}_m_{k}": F.when(may_hold(k, text), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for k, p in PATTERNS.items()})
+    split = held.withColumns({f"{own}_p_{k}": F.when(F.size(f"{own}_m_{k}") > 0, F.split(text, p, -1)).otherwise(none) for k, p in PATTERNS.items()})
+    spans = F.array_sort(F.concat(*[kind_spans(k, F.col(f"{own}_m_{k}"), F.col(f"{own}_p_{k}")) for k in PATTERNS]))
+    return split.withColumn("pii", spans).drop(*[f"{own}_{x}_{k}" for x in "mp" for k in PATTERNS])
 
 
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; of spans that overlap, the first stands for both."""
-    text = F.col(text_col)
+    text, spans = F.col(text_col), unused(docs, "_spans")
     cut = F.aggregate(
-        F.col("pii"),
+        F.col(spans),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
         lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
             F.struct(s["end"].alias("at"), F.array_append(F.array_append(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"])), F.concat(F.lit("<"), s["kind"], F.lit(">"))).alias("out"))
         ),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)),
     )
-    return find_spans(docs, text_col).withColumn(text_col, F.when(F.size("pii") > 0, cut).otherwise(text)).select(*docs.columns)
+    # The spans get a name of their own, so that a column pii of the input stays what it is.
+    kept = docs.withColumnRenamed("pii", f"{spans}_kept")
+    found = find_spans(kept, text_col).withColumnRenamed("pii", spans).withColumnRenamed(f"{spans}_kept", "pii")
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, cut).otherwise(text)).select(*docs.columns)
 
 
 def joined(spans: Column) -> Column:
