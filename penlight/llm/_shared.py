@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -14,9 +13,11 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a single machine, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="penlight-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -43,12 +44,6 @@ def forget(df: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def collect_garbage(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that nothing refers to any more; it does so when the driver's JVM collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def held_out(id_col: str = "doc_id"):
     """The rows kept from learning: crc32 of the id as text, modulo 4, is 2."""
     return F.crc32(F.col(id_col).cast("string")) % 4 == 2
