@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from penlight.plans import alerting, extras, pens, sensor, tracks
+from penlight.plans import alerting, comparisons, extras, pens, sensor, tracks
 
-QUERIES = {**sensor.QUERIES, **alerting.QUERIES, **pens.QUERIES, **tracks.QUERIES, **extras.QUERIES}
-ORACLE_SQL = {**sensor.ORACLE_SQL, **alerting.ORACLE_SQL, **pens.ORACLE_SQL, **tracks.ORACLE_SQL, **extras.ORACLE_SQL}
+QUERIES = {**sensor.QUERIES, **alerting.QUERIES, **pens.QUERIES, **tracks.QUERIES, **extras.QUERIES, **comparisons.QUERIES}
+ORACLE_SQL = {**sensor.ORACLE_SQL, **alerting.ORACLE_SQL, **pens.ORACLE_SQL, **tracks.ORACLE_SQL, **extras.ORACLE_SQL, **comparisons.ORACLE_SQL}
 flagship = sensor.flagship

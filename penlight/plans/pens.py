@@ -279,6 +279,7 @@ QUERIES = {
     "evl01_confusion": confusion, "evl04_composite_rules": composite, "evl05_score_sweep": sweep, "top04_best_thresholds": best_thresholds, "top07_threshold_choices": threshold_choices, "evl03_percentile_sweep": percentile_sweep, "evl07_alert_burden": burden,
     "agg41_top_pen_days": top_pen_days, "win09_rolling_intake": rolling_intake, "win21_hourly_worst": hourly_worst, "agg31_group_shift": shift, "agg23_distribution": distribution, "prj12_text_forms": text_forms, "agg34_compatibility": compared, "agg34_decision": decision,
 }
+BURDEN = "WITH " + BASE.strip() + ", h AS (SELECT p.policy, p.threshold, date, temperature_max >= p.threshold AS on_, heat_signs AS any_signs FROM scored, (VALUES ('screening', 28.7::DOUBLE), ('balanced', 30.4), ('high_confidence', 31.6)) p(policy, threshold)), g AS (" + rates(f"SELECT policy, threshold, {COUNTS}, count(DISTINCT date) AS days, count(DISTINCT CASE WHEN on_ THEN date END) AS alert_days FROM h GROUP BY ALL") + ") SELECT *, round(n_alerts / days::DOUBLE, 6) AS alerts_per_day, round(fp / days::DOUBLE, 6) AS false_alerts_per_day, round(100 * n_alerts / n::DOUBLE, 6) AS alerts_per_100 FROM g"
 VALID = "tattoo = 'ok' AND intake > 0"
 COMPAT = """
 WITH l AS (SELECT 'feed_intake' AS feature, 'intake' AS right_feature, feed_intake AS v FROM pen_day UNION ALL SELECT 'humidity_max', 'duration', humidity_max FROM pen_day), r AS (SELECT 'intake' AS right_feature, intake AS v FROM visits UNION ALL SELECT 'duration', duration FROM visits),
@@ -295,7 +296,7 @@ ORACLE_SQL = {
     "prj16_observed": oracle("SELECT experiment, pen_id, date FROM pen_day WHERE day(date) > 1"),
     "dom07_rule_scores": oracle("WITH " + BASE.strip() + " SELECT experiment, pen_id, date, round(management_score, 6) AS management_score, round(environment_score, 6) AS environment_score, rule_score, round(management_score + environment_score, 6) AS feed_env_score, (r1::INT + ke)::BIGINT AS rule_triggered_count, rule_reasons FROM scored"),
     "dom09_alert_levels": oracle("WITH " + LEVEL.strip() + " SELECT experiment, pen_id, date, policy_rank::BIGINT AS policy_rank, policy_level, temperature_policy FROM l"),
-    "agg32_level_summary": oracle("WITH " + LEVEL.strip() + ", k AS (SELECT unnest(range(1, 5)) AS policy_rank), n AS (SELECT policy_rank, count(*) AS n, count_if(any_signs) AS y FROM l WHERE rule_score < 0.9 GROUP BY 1) SELECT k.policy_rank, ['cctv_focus', 'caution', 'observe', 'normal'][k.policy_rank] AS policy_level, coalesce(n, 0) AS pen_days, coalesce(y, 0) AS labelled, round(y / n::DOUBLE, 6) AS label_rate FROM k LEFT JOIN n USING (policy_rank)"),
+    "agg32_level_summary": oracle("WITH " + LEVEL.strip() + ", k AS (SELECT unnest(range(1, 5)) AS policy_rank), n AS (SELECT policy_rank, count(*) AS n, count_if(any_signs) AS y FROM l GROUP BY 1) SELECT k.policy_rank, ['cctv_focus', 'caution', 'observe', 'normal'][k.policy_rank] AS policy_level, coalesce(n, 0) AS pen_days, coalesce(y, 0) AS labelled, round(y / n::DOUBLE, 6) AS label_rate FROM k LEFT JOIN n USING (policy_rank)"),
     "dom12_pen_alerts": oracle("WITH " + LEVEL.strip() + " SELECT experiment::VARCHAR AS source_dataset, concat('pen:', experiment, ':', pen_id) AS chamber_id, date::TIMESTAMP AS start_datetime, date::TIMESTAMP + INTERVAL 86399 SECOND AS end_datetime, rule_score AS track_score, concat_ws(',', CASE WHEN r1 THEN 'management' END, CASE WHEN ke > 0 THEN 'environment' END) AS alert_category, CASE policy_rank WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'normal' END AS tier, concat(policy_level, ': ', rule_reasons) AS reason FROM l WHERE policy_rank < 4"),
     "dom12_pen_queue": oracle("WITH " + LEVEL.strip() + ", q AS (SELECT 'management' AS queue, 'watch' AS priority FROM l WHERE policy_rank < 4 AND r1 UNION ALL SELECT 'environment', CASE WHEN round(environment_score, 6) >= 1.2 THEN 'urgent' ELSE 'high' END FROM l WHERE policy_rank < 4 AND ke > 0) SELECT queue, priority, count(*) AS n FROM q GROUP BY ALL"),
     "join11_precision_frame": oracle(FRAME + " SELECT * FROM f"),
@@ -309,7 +310,7 @@ ORACLE_SQL = {
     "top04_best_thresholds": oracle(SWEEP + " SELECT score, sign, threshold, n, n_alerts, f1, precision, sensitivity FROM t WHERE f1 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY score, sign ORDER BY f1 DESC, precision DESC, sensitivity DESC, threshold) = 1"),
     "top07_threshold_choices": oracle(TEMPERATURE_SWEEP + ", b AS (SELECT (SELECT threshold FROM t ORDER BY f1 DESC NULLS LAST, precision DESC NULLS LAST, threshold LIMIT 1) AS balanced, (SELECT threshold FROM t WHERE sensitivity >= 0.9 ORDER BY f1 DESC NULLS LAST, precision DESC NULLS LAST, threshold LIMIT 1) AS s, (SELECT threshold FROM t WHERE precision >= 0.45 AND specificity >= 0.95 ORDER BY f1 DESC NULLS LAST, precision DESC NULLS LAST, threshold LIMIT 1) AS p) SELECT 'balanced' AS policy, balanced AS threshold FROM b UNION ALL SELECT 'screening', coalesce(s, balanced) FROM b UNION ALL SELECT 'high_confidence', coalesce(p, balanced) FROM b"),
     "evl03_percentile_sweep": oracle("WITH " + BASE.strip() + ", c AS (SELECT DISTINCT unnest(list_append(quantile_cont(co2_max, [0.1, 0.5, 0.9, 0.99]), 2984.0)) AS cut FROM scored), h AS (SELECT cut, co2_max >= cut AS on_, respiratory_signs AS any_signs FROM scored, c) " + rates(f"SELECT round(cut, 6) AS threshold, {COUNTS} FROM h GROUP BY cut")),
-    "evl07_alert_burden": oracle("WITH " + BASE.strip() + ", h AS (SELECT p.policy, p.threshold, date, temperature_max >= p.threshold AS on_, heat_signs AS any_signs FROM scored, (VALUES ('screening', 28.7::DOUBLE), ('balanced', 30.4), ('high_confidence', 31.6)) p(policy, threshold)), g AS (" + rates(f"SELECT policy, threshold, {COUNTS}, count(DISTINCT date) AS days, count(DISTINCT CASE WHEN on_ THEN date END) AS alert_days FROM h GROUP BY ALL") + ") SELECT *, round(n_alerts / days::DOUBLE, 6) AS alerts_per_day, round(fp / days::DOUBLE, 6) AS false_alerts_per_day, round(100 * n_alerts / n::DOUBLE, 6) AS alerts_per_100 FROM g"),
+    "evl07_alert_burden": oracle(BURDEN),
     "agg41_top_pen_days": oracle("WITH " + BASE.strip() + " SELECT experiment, pen_id, date, rule_score, rule_reasons FROM scored ORDER BY rule_score DESC, experiment, pen_id, date LIMIT 20"),
     "win09_rolling_intake": oracle("SELECT experiment, pen_id, date, round(avg(feed_intake) OVER (PARTITION BY experiment, pen_id ORDER BY date ROWS 2 PRECEDING), 6) AS feed_intake_3d_mean, round(-100 * (feed_intake / nullif(lag(feed_intake) OVER o, 0) - 1), 6) AS feed_intake_drop_pct_1d, round(-100 * (feed_intake / nullif(lag(feed_intake, 3) OVER o, 0) - 1), 6) AS feed_intake_drop_pct_3d FROM pen_day WINDOW o AS (PARTITION BY experiment, pen_id ORDER BY date)"),
     "win21_hourly_worst": oracle("""

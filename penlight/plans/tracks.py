@@ -264,7 +264,7 @@ SELECT facility, bin, round(avg((label = 'walking')::INT), 6) AS walking_share,
     "join04_challenge_days": oracle("WITH " + CHALLENGE.strip() + " SELECT pig_id, day, round(rectal_temperature, 6) AS rectal_temperature, clinical::DOUBLE AS clinical, viral::DOUBLE AS viral, treated, symptomatic, viral_positive FROM c"),
     "agg30_daily_cohort": oracle("WITH " + CHALLENGE.strip() + " SELECT day, count(DISTINCT pig_id) AS pigs, count_if(symptomatic) AS symptomatic, count_if(rectal_temperature >= 41.01) AS rule_positive, count_if(viral_positive) AS viral_positive, round(avg(rectal_temperature), 6) AS mean_temperature, round(max(rectal_temperature), 6) AS max_temperature FROM c GROUP BY 1"),
     "win20_animal_timeline": oracle("WITH " + CHALLENGE.strip() + ", t AS (SELECT pig_id, min(CASE WHEN symptomatic THEN day END)::DOUBLE AS s, min(CASE WHEN rectal_temperature >= 41.01 THEN day END)::DOUBLE AS r, min(CASE WHEN viral_positive THEN day END)::DOUBLE AS v, max(rectal_temperature) AS m, count(*) AS days FROM c GROUP BY 1) SELECT pig_id, s AS first_symptom, r AS first_rule, v AS first_virus, r - s AS rule_lag, round(m, 6) AS max_temperature, days FROM t"),
-    "src09_long_form": oracle("SELECT day, pig_id::VARCHAR AS pig_id, round(rectal_temperature, 6) AS temperature FROM challenge WHERE pig_id < 6"),
+    "src09_long_form": oracle("SELECT day, pig_id::VARCHAR AS pig_id, round(rectal_temperature, 6) AS temperature FROM challenge"),
     "agg26_review_summary": oracle(f"WITH r AS (SELECT *, {OUT} FROM reviews) SELECT coalesce(queue, 'all') AS scope, count(*) AS incidents, count_if(review_status <> 'pending') AS reviewed, count_if(review_status = 'pending') AS pending, count_if(y) AS confirmed, count_if(n) AS false_alarm, count_if(review_status = 'needs_data') AS needs_data, round(count_if(y) / count_if(y OR n)::DOUBLE, 6) AS precision_estimate, count_if(followup_required = 'y') AS followup_required FROM r GROUP BY ROLLUP (queue)"),
     "dom17_rule_feedback": oracle(f"""
 WITH u AS (SELECT * FROM (VALUES {', '.join(map(str, RULES))}) t(rule_id, category)), r AS (SELECT *, {OUT} FROM reviews),
