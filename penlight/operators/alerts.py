@@ -137,10 +137,20 @@ def incident_queue(queue: DataFrame, gap_hours: int = 6) -> DataFrame:
 
 
 def numbered_incidents(incidents: DataFrame) -> DataFrame:
-    """Adds incident_id: the queue and a number in order of priority, at least four digits. Incidents are few: a queue's order is one task's work."""
-    best = Window.partitionBy("queue").orderBy("priority_rank", F.desc("max_track_score"), F.desc("max_environment_score"), F.desc("max_management_score"), "incident_start_datetime", "chamber_id", "reason")
-    no = F.row_number().over(best).cast("string")
-    return incidents.withColumn("incident_id", F.concat_ws("-", "queue", F.lpad(no, F.greatest(F.lit(4), F.length(no)), F.lit("0"))))
+    """Adds incident_id: the queue and a number in order of priority, at least four digits.
+
+    A queue falls into steps of its leading order (rank, then track and environment score in
+    twentieths); incidents are numbered inside a step, and the steps before are added up.
+    """
+    part = F.struct("priority_rank", F.coalesce(-F.floor(F.col("max_track_score") * 20), F.lit(2**40)).alias("track"), F.coalesce(-F.floor(F.col("max_environment_score") * 20), F.lit(2**40)).alias("environment"))
+    rows = incidents.withColumn("_step", part)
+    steps = rows.groupBy("queue", "_step").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("queue").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    starts = steps.select(F.col("queue").alias("_q"), F.col("_step").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    best = Window.partitionBy("queue", "_step").orderBy(F.desc("max_track_score"), F.desc("max_environment_score"), F.desc("max_management_score"), "incident_start_datetime", "chamber_id", "reason")
+    local = rows.withColumn("_i", F.row_number().over(best)).join(starts.hint("merge"), F.col("queue").eqNullSafe(F.col("_q")) & (F.col("_step") == F.col("_s")))
+    no = (F.col("_start") + F.col("_i")).cast("string")
+    return local.select(*incidents.columns, no.alias("_no")).withColumn("incident_id", F.concat_ws("-", "queue", F.lpad("_no", F.greatest(F.lit(4), F.length("_no")), F.lit("0")))).drop("_no")
 
 
 def peer_comparison(rollup: DataFrame, group: str = "source_dataset") -> DataFrame:

@@ -23,19 +23,19 @@ def reconstruction(train: DataFrame, windows: DataFrame, vector: str, latent: in
     """
     centre = train.select(F.posexplode(vector)).groupBy("pos").agg(F.avg("col").alias("m")).orderBy("pos")
     mean = np.array([r.m for r in centre.collect()])
-    centred = lambda df: df.withColumn("_x", F.transform(vector, lambda x, i: x - F.element_at(F.array(*[F.lit(float(m)) for m in mean]), i + 1)))
-    fit = centred(train).select(array_to_vector(F.col("_x")).alias("_v"))
+    # PCA takes the mean out by itself; the means go to the tasks with the components.
+    fit = train.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("_v"))
     model = PCA(k=min(latent, len(mean)), inputCol="_v", outputCol="_p").fit(fit)
-    parts = windows.sparkSession.sparkContext.broadcast(np.array(model.pc.toArray()))
+    parts = windows.sparkSession.sparkContext.broadcast((np.array(model.pc.toArray()), mean))
 
     @F.pandas_udf("array<double>")
     def errors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        w = parts.value
+        w, mean = parts.value
         for x in batches:
-            m = np.stack(x.to_numpy()) if len(x) else np.zeros((0, len(w)))
+            m = (np.stack(x.to_numpy()) if len(x) else np.zeros((0, len(w)))) - mean
             yield pd.Series(list((m - m @ w @ w.T) ** 2))
 
-    scored = centred(windows).withColumn("errors", errors("_x")).drop("_x")
+    scored = windows.withColumn("errors", errors(vector))
     return scored.withColumn("error", F.aggregate("errors", F.lit(0.0), lambda a, x: a + x) / F.size("errors"))
 
 
@@ -89,13 +89,14 @@ def path_lengths(tree: tuple, points: np.ndarray, out: np.ndarray, rows: np.ndar
 def isolation_scores(train: DataFrame, windows: DataFrame, vector: str, key: str, trees: int = TREES, seed: int = 42, contamination: float = 0.01) -> DataFrame:
     """windows with score (higher: more isolated) and outlier (above the training scores' upper `contamination`).
 
-    Each tree sees about SUBSAMPLE rows that a hash picks; trees are built in parallel and, at
-    some hundred nodes each, sent to all tasks.
+    Each tree sees about SUBSAMPLE rows, those whose hash for the tree falls into a share of
+    all 63-bit hashes, at any number of rows; a row is copied only for the trees that take it.
+    Trees are built in parallel and, at some hundred nodes each, sent to all tasks.
     """
     n = train.count()
-    share = min(1.0, SUBSAMPLE / max(n, 1))
-    held = train.select(key, F.col(vector).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
-    picked = held.where(F.pmod(F.xxhash64(key, "tree", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    below = min(2**63 - 1, 2**63 * SUBSAMPLE // max(n, 1))
+    mine = F.filter(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64(F.col(key), t, F.lit(seed)).bitwiseAND(F.lit(2**63 - 1)) <= below)
+    picked = train.select(key, F.col(vector).alias("v"), F.explode(mine).alias("tree"))
 
     def build(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key)
@@ -144,9 +145,7 @@ def forest_confusion(rows: DataFrame, features: Sequence[str], label: str, trees
 
 def macro_f1(confusion: DataFrame) -> DataFrame:
     """Mean F1 over labels of a confusion table."""
-    classes = confusion.select(F.explode(F.array("label", "prediction")).alias("c")).distinct()
-    both = confusion.withColumn("_b", F.lit(1))
-    counted = both.join(classes.hint("merge"), (F.col("label") == F.col("c")) | (F.col("prediction") == F.col("c")))
+    counted = confusion.withColumn("c", F.explode(F.array_distinct(F.array("label", "prediction"))))
     hit = (F.col("label") == F.col("c")) & (F.col("prediction") == F.col("c"))
     f1 = counted.groupBy("c").agg((2 * F.sum(F.when(hit, F.col("n")).otherwise(0)) / (F.sum(F.when(F.col("label") == F.col("c"), F.col("n")).otherwise(0)) + F.sum(F.when(F.col("prediction") == F.col("c"), F.col("n")).otherwise(0)))).alias("f1"))
     return f1.agg(F.avg("f1").alias("macro_f1"), F.count("*").alias("classes"))

@@ -95,7 +95,7 @@ def sentinels(spark, sf_dir):
     masked = quality.sentinel_masked(rows, ["heart", "skin"], [1.0, 50.0, 0.0], ["skin"])
     counts = quality.sentinel_counts(rows, ["heart", "skin"], [1.0, 50.0])
     held = masked.agg(F.count("heart").alias("heart"), F.count("skin").alias("skin")).unpivot([], ["heart", "skin"], "column", "kept")
-    return rounded(counts.join(held, "column"), "sentinel_pct")
+    return rounded(counts.join(held.hint("merge"), "column"), "sentinel_pct")
 
 
 def shared(spark, sf_dir):
@@ -138,5 +138,8 @@ ORACLE_SQL = {
     "prj08_sentinels": "SELECT 'heart' AS column, count(CASE WHEN l_quantity IN (1, 50) THEN 1 END) AS sentinels, round(100.0 * count(CASE WHEN l_quantity IN (1, 50) THEN 1 END) / count(*)::DOUBLE + 3e-9, 6) AS sentinel_pct, count(CASE WHEN l_quantity NOT IN (1, 50, 0) THEN 1 END) AS kept FROM lineitem UNION ALL SELECT 'skin', count(CASE WHEN l_discount * 100 IN (1.0::DOUBLE, 50.0::DOUBLE) THEN 1 END), round(100.0 * count(CASE WHEN l_discount * 100 IN (1.0::DOUBLE, 50.0::DOUBLE) THEN 1 END) / count(*)::DOUBLE + 3e-9, 6), count(CASE WHEN l_discount * 100 NOT IN (1.0::DOUBLE, 50.0::DOUBLE) AND l_discount > 0 THEN 1 END) FROM lineitem",
     "set05_shared_features": "SELECT unnest(['experiment', 'pen_id', 'date']) AS feature",
     "set04_tagged_splits": oracle("SELECT CASE WHEN error < 0.2 THEN 'clean' ELSE 'odd' END AS split, count(*) AS n FROM scored_windows GROUP BY 1"),
+    "dom16_injections": oracle("WITH " + sensor.WINDOWS.strip() + ", base AS (SELECT f_mean, w_mean, t_max, b_max, c_max FROM full_windows), v AS (SELECT 'none' AS c, * FROM base UNION ALL SELECT 'fever', f_mean, w_mean, 42.0, b_max, c_max FROM base UNION ALL SELECT 'gas', f_mean, w_mean, t_max, 36.0, 5000.0 FROM base), h AS (SELECT c, coalesce(t_max >= 41.0, false) AS h1, coalesce(b_max >= 40.0, false) AS h2, coalesce(f_mean <= -0.1, false) AS h3, coalesce(w_mean >= 0.1, false) AS h4, coalesce(w_mean <= -0.1, false) AS h5, coalesce(c_max >= 1000.0, false) AS h6, coalesce(b_max >= 35.0, false) AND coalesce(c_max >= 950.0, false) AS h7 FROM v), s AS (SELECT c, concat_ws(',', CASE WHEN h1 THEN 'rectal_temp_high' END, CASE WHEN h2 THEN 'barn_temp_high' END, CASE WHEN h3 THEN 'feed_drop' END, CASE WHEN h4 THEN 'water_spike' END, CASE WHEN h5 THEN 'water_drop' END, CASE WHEN h6 THEN 'co2_high' END, CASE WHEN h7 THEN 'barn_hot_with_co2_high' END) AS rule_reasons, h1::INT * 1.0::DOUBLE + h2::INT * 0.6 + h3::INT * 0.6 + h4::INT * 0.3 + h5::INT * 0.6 + h6::INT * 0.3 + h7::INT * 0.6 + 0.3 * greatest(h1::INT + h2::INT + h3::INT + h4::INT + h5::INT + h6::INT + h7::INT - 1, 0) AS x FROM h) SELECT c AS \"case\", rule_reasons, count(*) AS n, round(max(x), 6) AS rule_score FROM s GROUP BY ALL"),
+    "ml09_track_inputs": oracle("WITH " + sensor.SIZES.strip() + ", o AS (SELECT *, row_number() OVER (PARTITION BY dataset_key, chamber_number ORDER BY datetime) AS i FROM hourly JOIN t USING (dataset_key, chamber_number) WHERE total_rows >= 24 AND train >= 24 AND val >= 24), x AS (SELECT *, 'train' AS split FROM o WHERE i <= train UNION ALL SELECT *, 'val' FROM o WHERE i > total_rows - val) SELECT dataset_key, chamber_number, split, count(*) - 23 AS windows, max(datetime) AS last FROM x GROUP BY ALL HAVING count(*) >= 24"),
+    "evl11_evidence": oracle("WITH " + pens.BASE.strip() + ", h AS (SELECT temperature_max >= 31.6 AS a, heat_signs AS b FROM scored) SELECT 'heat rule' AS title, concat_ws(' ', 'sensitivity', coalesce(round(count_if(a AND b) / nullif(count_if(b), 0)::DOUBLE, 3)::VARCHAR, '-'), 'precision', coalesce(round(count_if(a AND b) / nullif(count_if(a), 0)::DOUBLE, 3)::VARCHAR, '-')) AS text FROM h UNION ALL SELECT 'days', concat_ws(' ', 'pen-days', round(count(*)::DOUBLE, 3)::VARCHAR) FROM pen_day"),
     "evl02_labelled_confusion": oracle("WITH h AS (SELECT n_chars <= 900 AS on_, quality = 0 AS any_signs FROM labelled) " + pens.rates(f"SELECT {pens.COUNTS} FROM h")),
 }

@@ -227,7 +227,7 @@ def sequences(spark, sf_dir):
     rows = quality.imputed(hourly(spark, sf_dir), ["watersupply_mean", "co2_mean"])
     found = series.sequences(rows, ["watersupply_mean", "co2_mean"], KEYS, LENGTH, last=["pig_count"])
     total = F.aggregate(F.flatten("matrix"), F.lit(0.0), lambda a, x: a + x)
-    return found.select(*KEYS, "start_datetime", "end_datetime", "end_pig_count", F.size("matrix").alias("rows"), F.round(total, 4).alias("total"))
+    return found.select(*KEYS, "start_datetime", "end_datetime", "end_pig_count", F.size("matrix").alias("rows"), F.round(total + 3e-9, 4).alias("total"))
 
 
 QUERIES = {
@@ -296,6 +296,11 @@ SELECT dataset_key, chamber_number, total_rows, CASE WHEN total_rows < 24 THEN 0
     "win11_ratio_split": oracle(W + SPLIT.strip() + " SELECT dataset_key, chamber_number, split, count(*) AS rows, max(datetime) AS last FROM tagged GROUP BY ALL"),
     "win12_group_scaling": oracle(W + SPLIT.strip() + ", f AS (SELECT dataset_key, chamber_number, avg(watersupply_mean) AS m, coalesce(nullif(stddev_pop(watersupply_mean), 0), 1) AS s FROM tagged WHERE split = 'train' GROUP BY ALL) SELECT dataset_key, chamber_number, datetime, split, round((watersupply_mean - m) / s, 5) AS watersupply_mean FROM tagged JOIN f USING (dataset_key, chamber_number)"),
     "win13_pooled_scaling": oracle(W + SPLIT.strip() + ", f AS (SELECT avg(watersupply_mean) AS m, coalesce(nullif(stddev_pop(watersupply_mean), 0), 1) AS s FROM tagged WHERE split = 'train') SELECT dataset_key, chamber_number, datetime, split, round((watersupply_mean - m) / s, 5) AS watersupply_mean FROM tagged, f"),
+    "win03_sequences": oracle(W + HOURLY.strip() + """,
+f AS (SELECT *, coalesce(watersupply_mean, (SELECT quantile_cont(watersupply_mean, 0.5) FROM hourly), 0) + coalesce(co2_mean, (SELECT quantile_cont(co2_mean, 0.5) FROM hourly), 0) AS s FROM hourly),
+w AS (SELECT dataset_key, chamber_number, datetime AS start_datetime, lead(datetime, 23) OVER o AS end_datetime, lead(pig_count, 23) OVER o AS end_pig_count, sum(s) OVER a AS total, count(*) OVER a AS rows FROM f
+  WINDOW o AS (PARTITION BY dataset_key, chamber_number ORDER BY datetime), a AS (PARTITION BY dataset_key, chamber_number ORDER BY datetime ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING))
+SELECT dataset_key, chamber_number, start_datetime, end_datetime, end_pig_count, rows::INT AS rows, round(total, 4) AS total FROM w WHERE rows = 24"""),
     "win04_labelled_windows": oracle(W + HOURLY.strip() + """,
 l AS (SELECT *, (day(datetime) % 3 = 0)::INT AS b, (coalesce(watersupply_mean, 0) > 50)::INT::DOUBLE AS label FROM hourly),
 w AS (SELECT dataset_key, chamber_number, datetime AS start_datetime, lead(datetime, 11) OVER o AS end_datetime, sum(b) OVER a AS nb, avg(label) OVER a AS label_mean, max(label) OVER a AS label_max, count(*) OVER a AS rows FROM l

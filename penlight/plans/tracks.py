@@ -141,8 +141,9 @@ def incident_rows(spark, sf_dir):
 
 
 def log_of(spark, sf_dir):
-    some = incident_rows(spark, sf_dir).where(F.crc32("incident_id") % 3 > 0)
-    return review.template(some, ["incident_id", "queue", "reason"]).withColumn("review_status", F.when(F.crc32("incident_id") % 3 == 1, "confirmed").otherwise("pending"))
+    number = F.substring("incident_id", 10, 19).cast("long") % 3
+    some = incident_rows(spark, sf_dir).where(number > 0)
+    return review.template(some, ["incident_id", "queue", "reason"]).withColumn("review_status", F.when(number == 1, "confirmed").otherwise("pending"))
 
 
 def merged_log(spark, sf_dir):
@@ -183,7 +184,7 @@ def histogram(spark, sf_dir):
 
 
 def bootstrap(spark, sf_dir):
-    return evaluate.bootstrap_percentile(scored_windows(spark, sf_dir).where("split = 'val'"), 95.0, 100)
+    return evaluate.bootstrap_percentile(scored_windows(spark, sf_dir).where("split = 'val'"), 95.0)
 
 
 def windows64(spark, sf_dir):
@@ -192,7 +193,7 @@ def windows64(spark, sf_dir):
 
 def reconstruction_of(spark, sf_dir):
     rows = windows64(spark, sf_dir)
-    return models.reconstruction(rows.where("vec_id % 4 > 0"), rows, "v", 16)
+    return models.reconstruction(rows.where("vec_id % 4 > 0"), rows, "v")
 
 
 def reconstruction(spark, sf_dir):
@@ -213,7 +214,7 @@ def window_map(spark, sf_dir):
 
 def isolation(spark, sf_dir):
     rows = windows64(spark, sf_dir)
-    return models.isolation_scores(rows.where("vec_id % 4 > 0"), rows, "v", "vec_id", 40).select("vec_id", "score", "outlier")
+    return models.isolation_scores(rows.where("vec_id % 4 > 0"), rows, "v", "vec_id").select("vec_id", "score", "outlier")
 
 
 def forest(spark, sf_dir):
@@ -273,5 +274,8 @@ x AS (SELECT *, false_alarm / nullif(confirmed + false_alarm, 0)::DOUBLE AS w, c
 SELECT rule_id, category, incidents, reviewed, confirmed, false_alarm, needs_data, round(w, 6) AS false_alarm_rate, round(c, 6) AS confirmed_rate, CASE WHEN reviewed < 3 THEN 'collect_more_reviews' WHEN w >= 0.6 THEN 'tighten_threshold' WHEN c >= 0.8 THEN 'keep_or_relax_carefully' WHEN needs_data > 0 THEN 'improve_data_capture' ELSE 'monitor' END AS recommendation FROM x"""),
     "evl09_percentile_thresholds": oracle(f"WITH {WINDOWS}, c AS (SELECT unnest([90.0, 95.0, 99.0])::DOUBLE AS percentile, unnest(quantile_cont(error, [0.9, 0.95, 0.99])) AS threshold FROM v), r AS (SELECT *, error > threshold AS raw FROM v, c), {confirmed('percentile, pig', 'r', 'raw')} SELECT percentile, round(threshold, 5) AS threshold, count(*) AS windows, count_if(raw) AS raw, count_if(confirmed) AS confirmed, round(min(error), 5) AS min_error, round(quantile_cont(error, 0.5), 5) AS median_error, round(avg(error), 5) AS mean_error, round(max(error), 5) AS max_error FROM k GROUP BY percentile, k.threshold"),
     "ml02_detection": oracle(f"WITH {WINDOWS}, r AS (SELECT *, error > (SELECT quantile_cont(error, 0.9) FROM v WHERE split = 'val') AS raw FROM v), {confirmed('split, pig', 'r', 'raw')} SELECT split, count(*) AS windows, round(avg(error), 5) AS mean_error, count_if(raw) AS raw, count_if(confirmed) AS confirmed, round(avg(raw::INT), 5) AS raw_rate, round(avg(confirmed::INT), 5) AS confirmed_rate FROM k GROUP BY 1"),
+    "rev02_merged_log": oracle("WITH i AS (SELECT *, substring(incident_id, 10)::BIGINT % 3 AS m FROM reviews WHERE queue <> 'disease' OR substring(incident_id, 10)::BIGINT % 3 > 0) SELECT queue, CASE WHEN m = 1 THEN 'confirmed' ELSE 'pending' END AS review_status, count(*) AS n FROM i GROUP BY ALL"),
+    "rev03_decided_log": oracle("WITH d AS (SELECT concat('incident-', o_orderkey - o_orderkey % 2) AS id, arg_max(o_custkey % 5 < 3, o_orderkey) AS yes FROM orders WHERE o_custkey % 5 <> 0 GROUP BY 1) SELECT CASE WHEN yes IS NULL THEN 'pending' WHEN yes THEN 'confirmed' ELSE 'false_alarm' END AS review_status, yes AS confirmed, NOT yes AS false_alarm, CASE WHEN yes IS NULL THEN '' ELSE 'dashboard_operator' END AS reviewed_by, count(*) AS n FROM reviews LEFT JOIN d ON id = incident_id GROUP BY ALL"),
+    "rev03_skipped": "SELECT CASE WHEN o_custkey % 5 = 0 THEN 'later' WHEN o_custkey % 5 < 3 THEN ' Confirmed' ELSE 'dismissed' END AS decision, count(*) AS n FROM orders WHERE o_orderkey - o_orderkey % 2 NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 > 0) GROUP BY 1",
     "agg36_histogram": oracle(f"WITH {WINDOWS} SELECT least(floor((error - (SELECT min(error) FROM v)) / ((SELECT max(error) FROM v) - (SELECT min(error) FROM v)) * 12), 11)::BIGINT AS bin, count(*) AS n FROM v GROUP BY 1"),
 }
