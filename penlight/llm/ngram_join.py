@@ -50,7 +50,7 @@ LEAST = (3, 4)
 #: Most tokens that count as frequent, their least frequency, and the level (power of two) from which their postings are salted. They only shape the orders: no token or pair is left out.
 FREQUENT, FREQUENT_FROM, SALTED_FROM = 200_000, 4, 4
 #: Classes that a task remembers, bytes and documents that it hashes at once, tokens that it counts at once.
-REMEMBERED, STEP_BYTES, STEP, COUNTED = 250_000, 500_000, 1_000, 2_000_000
+REMEMBERED, STEP_BYTES, STEP, COUNTED = 150_000, 250_000, 1_000, 1_200_000
 #: Salts of a frequent token's postings.
 SALTS = 1_009
 #: Rows up to which ids and pairs are sent to all tasks; beyond, a shuffle joins them.
@@ -158,6 +158,8 @@ def steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n = max(1, min(STEP, int(np.searchsorted(sizes, done + STEP_BYTES, side="right")) - at))
         yield batch.slice(at, n)
         at += n
+    # Gives memory back to the machine between batches.
+    pa.default_memory_pool().release_unused()
 
 
 def distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
