@@ -38,12 +38,12 @@ from pyspark.sql import functions as F
 
 from penlight.llm._shared import held_out, sample_limit
 
-SAMPLE, EVIDENCE, RUN = 2_500, 0.9, 256
+SAMPLE, EVIDENCE, RUN = 2_500, 0.6, 256
 ROUNDS, STEP, PENALTY = 140, 0.1, 1e-3
 #: From this score on a document is predicted good.
 GOOD = 0.7
 #: Texts and bytes of text that are scored together.
-TEXTS, BYTES = 512, 1_000_000
+TEXTS, BYTES = 512, 300_000
 SYMBOLS, DIGITS, RUNS = re.compile(r"[^\w\s]"), re.compile(r"[0-9]"), re.compile(r"[^\w\s.,]{2,}|[^\w\s]{3,}")
 FEATURES = 12
 
@@ -224,6 +224,8 @@ def portions(texts: pa.Array) -> Iterator[list[str | None]]:
         n = max(1, min(TEXTS, int(np.searchsorted(ends, done + BYTES, side="right")) - at))
         yield texts.slice(at, n).to_pylist()
         at += n
+    # Gives memory back to the machine between batches.
+    pa.default_memory_pool().release_unused()
 
 
 def scored(docs: DataFrame, field: LineField, text_col: str = "text") -> DataFrame:
