@@ -31,7 +31,7 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks and pieces that a worker remembers, and the longest of them.
-CHUNKS, PIECES, LONGEST = 300_000, 500_000, 48
+CHUNKS, PIECES, LONGEST = 120_000, 150_000, 48
 #: Rows in a batch that goes back to Spark.
 ROWS_OUT = 500
 #: What str.split() takes for white space and the vocabulary's pattern does not.
