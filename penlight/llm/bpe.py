@@ -3,7 +3,7 @@
 A text falls into chunks at white space; a chunk into pieces by the vocabulary's
 pattern; a piece into symbols that are joined in the order of merge ranks. The ranks
 wait in a priority queue, the symbols form a doubly linked list, and queue entries whose
-symbols have changed meanwhile are skipped. Ids of chunks are remembered by each worker,
+symbols have changed meanwhile are skipped. Ids of chunks are remembered during a task,
 up to a bound. Decoding concatenates the vocabulary's strings with the separator of the
 tokenizer (it has no decoder, so a blank).
 
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks and pieces that a worker remembers, and the longest of them.
+#: Chunks and pieces that a task remembers, and the longest of them.
 CHUNKS, PIECES, LONGEST = 120_000, 150_000, 48
 #: Rows in a batch that goes back to Spark.
 ROWS_OUT = 500
@@ -125,6 +125,10 @@ class Codec(dict):
             self[chunk] = made
         return made
 
+    def forget(self) -> None:
+        self.clear()
+        self.pieces_known.clear()
+
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """The ids of a whole text as bytes, and the text decoded from them."""
         chunks = text.split() if text and not SEPARATORS.search(text) else regex.split(r"\s+", text or "")
@@ -159,6 +163,9 @@ def encoder(path: str, text_at: int):
                 done = [model.encode(x) for x in part.column(text_at).to_pylist()]
                 made = [pa.array([x[0] for x in done], pa.binary()), pa.array([x[1] for x in done], pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "ids", "decoded"])
+        # Workers outlive their tasks; what they remember should not fill the memory of other stages.
+        model.forget()
+        pa.default_memory_pool().release_unused()
 
     return encode
 
