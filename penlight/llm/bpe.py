@@ -62,34 +62,45 @@ class Codec(dict):
         self.pieces = regex.compile(split["pattern"]["Regex"])
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
-        self.ranks = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.symbols = byte_symbols()
+        merges = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs]
+        self.ranks = {(a, b): rank for rank, (a, b, _) in enumerate(merges)}
+        #: The symbol that each rank makes.
+        self.joined = [new for _, _, new in merges]
+        #: Ids of each byte inside a piece and at its end.
+        symbols = byte_symbols()
+        self.inner_ids, self.last_ids = [self.vocab.get(s) for s in symbols], [self.vocab.get(s + self.end) for s in symbols]
         # Only what it knows of Unicode is asked for: normal forms, and the classes of letters outside LATIN.
         self.library = Tokenizer.from_file(path)
         self.pieces_known: dict[str, tuple[bytes, str]] = {}
 
     def merged(self, piece: str) -> list[int]:
         """The ids of one piece."""
-        text = [self.symbols[b] for b in piece.encode()]
-        text[-1] += self.end
-        ids = [self.vocab[s] for s in text if s in self.vocab]
+        data, ranks, joined = piece.encode(), self.ranks, self.joined
+        ids = [*map(self.inner_ids.__getitem__, data[:-1]), self.last_ids[data[-1]]]
+        if None in ids:  # bytes that the vocabulary lacks
+            ids = [x for x in ids if x is not None]
         n = len(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(*self.ranks[pair], i) for i, pair in enumerate(zip(ids, ids[1:])) if pair in self.ranks]
+        # An entry is one number: the rank above the place, so that the least is the lowest rank furthest to the left.
+        bits = n.bit_length()
+        places = (1 << bits) - 1
+        queue = [rank << bits | i for i, rank in enumerate(map(ranks.get, zip(ids, ids[1:]))) if rank is not None]
         heapq.heapify(queue)
         while queue:
-            rank, new, i = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            rank, i = entry >> bits, entry & places
             j = after[i]
-            if j < 0 or ids[i] < 0 or self.ranks.get((ids[i], ids[j])) != (rank, new):
+            if j < 0 or ids[i] < 0 or ranks.get((ids[i], ids[j])) != rank:
                 continue  # stale: one of the two symbols has been joined to another since
+            new = joined[rank]
             ids[i], ids[j] = new, -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if found := self.ranks.get((new, ids[k])):
-                    heapq.heappush(queue, (*found, i))
-            if (h := before[i]) >= 0 and (found := self.ranks.get((ids[h], new))):
-                heapq.heappush(queue, (*found, h))
+                if (found := ranks.get((new, ids[k]))) is not None:
+                    heapq.heappush(queue, found << bits | i)
+            if (h := before[i]) >= 0 and (found := ranks.get((ids[h], new))) is not None:
+                heapq.heappush(queue, found << bits | h)
         return [x for x in ids if x >= 0]
 
     def piece(self, piece: str) -> tuple[bytes, str]:

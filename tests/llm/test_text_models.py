@@ -60,11 +60,11 @@ def test_bpe_joins_by_rank_and_place():
     c = bpe.Codec(public_tokenizers.path(bpe.VOCABULARY))
 
     def plain(piece):
-        s = [c.symbols[b] for b in piece.encode()]
+        s = [bpe.byte_symbols()[b] for b in piece.encode()]
         ids = [c.vocab[x] for x in [*s[:-1], s[-1] + c.end]]
         while pairs := [(c.ranks[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in c.ranks]:
-            (_, new), i = min(pairs)
-            ids[i : i + 2] = [new]
+            rank, i = min(pairs)
+            ids[i : i + 2] = [c.joined[rank]]
         return ids
 
     for piece in map("".join, itertools.product("theain", repeat=5)):
