@@ -5,12 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Whole texts go to Python tasks in batches of `rows` rows where the session sets no number of its own: Spark's default of 10,000 rows of texts is held several times over, in the executor and in its workers."""
+    if spark.conf.get(BATCH_ROWS, None) is None:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
+def give_back() -> None:
+    """Returns what a Python worker has freed to the machine: Arrow's memory, and by the system pool also that of numpy and of Python itself."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a single machine, and an error on a cluster."""

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from penlight.llm._shared import give_back, small_batches
+
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks and pieces that a task remembers, and the longest of them.
 CHUNKS, PIECES, LONGEST = 120_000, 150_000, 48
@@ -160,6 +162,7 @@ def codec(path: str) -> Codec:
 def tokenized(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """docs with ids (binary: little-endian unsigned 32-bit integers) and decoded (string). path: the vocabulary file on every machine."""
     path = path or public_tokenizers.path(VOCABULARY)
+    small_batches(docs.sparkSession)
     docs = docs.drop("ids", "decoded")
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
     return docs.mapInArrow(encoder(path, docs.columns.index(text_col)), schema)
@@ -176,7 +179,7 @@ def encoder(path: str, text_at: int):
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "ids", "decoded"])
         # Workers outlive their tasks; what they remember should not fill the memory of other stages.
         model.forget()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return encode
 

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from penlight.llm._shared import forget, written
+from penlight.llm._shared import forget, give_back, small_batches, written
 
 WORDS = 5
 #: Least similarity as a fraction.
@@ -159,7 +159,7 @@ def steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, n)
         at += n
     # Gives memory back to the machine between batches.
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -434,6 +434,7 @@ class NgramJoin:
     """The steps of the join over one table: doc_id (long) and text."""
 
     def __init__(self, docs: DataFrame):
+        small_batches(docs.sparkSession)
         self.docs = docs
         marks = written(docs.mapInArrow(class_rows, "kind int, doc_id long, n long, c1 long, c2 long"), "classes")
         self.orders = self.frequent(marks.where("kind = 1"))

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penlight.llm._shared import held_out, sample_limit
+from penlight.llm._shared import give_back, held_out, sample_limit, small_batches
 
 SAMPLE, EVIDENCE, RUN = 2_500, 0.6, 256
 ROUNDS, STEP, PENALTY = 140, 0.1, 1e-3
@@ -225,7 +225,7 @@ def portions(texts: pa.Array) -> Iterator[list[str | None]]:
         yield texts.slice(at, n).to_pylist()
         at += n
     # Gives memory back to the machine between batches.
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def scored(docs: DataFrame, field: LineField, text_col: str = "text") -> DataFrame:
@@ -236,6 +236,7 @@ def scored(docs: DataFrame, field: LineField, text_col: str = "text") -> DataFra
         for texts in batches:
             yield pa.array(np.concatenate([np.zeros(0), *map(field.scores, portions(texts))]))
 
+    small_batches(docs.sparkSession)
     kept = docs.drop("score", "predicted")
     return kept.withColumn("score", score(text_col)).withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
 
