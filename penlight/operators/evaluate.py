@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from penlight.functions.tables import written
 from penlight.operators.penday import with_rates
+from penlight.operators.quantiles import at_ranks, one_row, with_percentiles
 from penlight.operators.series import confirm_runs
 
 
@@ -50,9 +55,9 @@ def summed(each: DataFrame, above: bool, keys: Sequence[str]) -> DataFrame:
 
 def percentile_sweep(df: DataFrame, feature: str, sign: str, percentiles: Sequence[float], configured: float, above: bool = True) -> DataFrame:
     """A sweep over percentiles of the feature and the configured value."""
-    rows = df.where(F.col(feature).isNotNull() & F.col(sign).isNotNull()).groupBy(F.col(feature).cast("double").alias("value"), F.col(sign).alias("truth")).agg(F.count("*").alias("k"))
-    cuts = rows.agg(F.percentile("value", F.array(*[F.lit(p) for p in percentiles]), F.col("k")).alias("p"))
-    cuts = cuts.select(F.array_distinct(F.array_append("p", F.lit(configured))).alias("cuts"))
+    known = df.where(F.col(feature).isNotNull() & F.col(sign).isNotNull())
+    rows = known.groupBy(F.col(feature).cast("double").alias("value"), F.col(sign).alias("truth")).agg(F.count("*").alias("k"))
+    cuts = one_row(known, [feature], percentiles).select(F.array_distinct(F.array_append(feature, F.lit(configured))).alias("cuts"))
     # One row of some ten thresholds.
     return summed(rows.join(F.broadcast(cuts)).withColumn("threshold", F.explode("cuts")), above, ["threshold"])
 
@@ -88,17 +93,18 @@ def alert_burden(df: DataFrame, temperature: str, sign: str, policies: Mapping[s
 
 def percentile_thresholds(windows: DataFrame, percentiles: Sequence[float], keys: Sequence[str], order: Sequence[str], required: int = 3, error: str = "error") -> DataFrame:
     """For each percentile of the errors: threshold, windows above it, windows in confirmed runs."""
-    cuts = windows.agg(F.percentile(error, F.array(*[F.lit(p / 100) for p in percentiles])).alias("c"))
-    pairs = cuts.select(F.posexplode("c").alias("i", "threshold")).withColumn("percentile", F.element_at(F.array(*[F.lit(float(p)) for p in percentiles]), F.col("i") + 1)).drop("i")
+    cuts = one_row(windows, [error], [*(p / 100 for p in percentiles), 0.5]).select(F.col(error).alias("c"))
+    named = F.array(*[F.struct(F.lit(float(p)).alias("percentile"), F.col("c")[i].alias("threshold"), F.col("c")[len(percentiles)].alias("median_error")) for i, p in enumerate(percentiles)])
+    pairs = cuts.where("c is not null").select(F.explode(named).alias("x")).select("x.*")
     # A row for each percentile.
     rows = windows.join(F.broadcast(pairs)).withColumn("raw", F.col(error) > F.col("threshold"))
     done = confirm_runs(rows, "raw", ["percentile", *keys], order, required)
-    return done.groupBy("percentile", "threshold").agg(F.count("*").alias("windows"), F.count_if("raw").alias("raw"), F.count_if("confirmed").alias("confirmed"), F.min(error).alias("min_error"), F.percentile(error, F.lit(0.5)).alias("median_error"), F.avg(error).alias("mean_error"), F.max(error).alias("max_error"))
+    return done.groupBy("percentile", "threshold").agg(F.count("*").alias("windows"), F.count_if("raw").alias("raw"), F.count_if("confirmed").alias("confirmed"), F.min(error).alias("min_error"), F.first("median_error").alias("median_error"), F.avg(error).alias("mean_error"), F.max(error).alias("max_error"))
 
 
 def detected(windows: DataFrame, fit_on: Column, percentile: float, keys: Sequence[str], order: Sequence[str], required: int = 3, error: str = "error") -> DataFrame:
     """Windows with threshold (a percentile of the windows to fit on), raw_anomaly and confirmed_anomaly."""
-    cut = windows.where(fit_on).agg(F.percentile(error, F.lit(percentile / 100)).alias("threshold"))
+    cut = one_row(windows.where(fit_on), [error], [percentile / 100]).select(F.col(error)[0].alias("threshold"))
     # One row.
     rows = windows.join(F.broadcast(cut)).withColumn("raw_anomaly", F.col(error) > F.col("threshold"))
     return confirm_runs(rows, "raw_anomaly", keys, order, required, "confirmed_anomaly")
@@ -108,23 +114,42 @@ def detection_summary(rows: DataFrame, keys: Sequence[str], error: str = "error"
     return rows.groupBy(*keys).agg(F.count("*").alias("windows"), F.avg(error).alias("mean_error"), F.count_if("raw_anomaly").alias("raw"), F.count_if("confirmed_anomaly").alias("confirmed"), F.avg(F.col("raw_anomaly").cast("double")).alias("raw_rate"), F.avg(F.col("confirmed_anomaly").cast("double")).alias("confirmed_rate"))
 
 
-def bootstrap_percentile(errors: DataFrame, percentile: float, replicates: int = 200, ci: float = 0.9, seed: int = 42, error: str = "error") -> DataFrame:
-    """Interval of a percentile by Poisson resampling: every value gets a hash-seeded weight in each replicate.
+def bootstrap_percentile(errors: DataFrame, percentile: float, replicates: int = 2000, ci: float = 0.9, seed: int = 42, error: str = "error") -> DataFrame:
+    """Percentile of the errors with the interval of its bootstrap: the percentile of every sample of n errors, drawn with replacement.
 
-    Values are counted first; a distinct value, not a row, meets the replicates, and rows of weight 0 go at once.
+    Only the ranks next to the percentile are drawn. The r-th smallest of n draws lies where
+    the r-th smallest of n uniform numbers does, which is Beta-distributed, and the one after
+    it follows from it; so a replicate costs two numbers, at any number of errors, and the
+    errors are read for the values at those ranks alone. One error or none has no interval.
     """
-    values = errors.where(F.col(error).isNotNull()).groupBy(F.col(error).alias("value")).agg(F.count("*").alias("k"))
-    each = values.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64("value", "replicate", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    # Poisson(k) by inversion for small k; large counts by its normal approximation.
-    exact = F.aggregate(F.sequence(F.lit(1), F.lit(24)), F.struct(F.exp(-F.col("k").cast("double")).alias("p"), F.exp(-F.col("k").cast("double")).alias("c"), F.lit(0).alias("n")), lambda a, i: F.struct((a["p"] * F.col("k") / i).alias("p"), (a["c"] + a["p"] * F.col("k") / i).alias("c"), (a["n"] + (u > a["c"]).cast("int")).alias("n")), lambda a: a["n"].cast("long"))
-    v = F.pmod(F.xxhash64("value", "replicate", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
-    normal = F.greatest(F.lit(0), F.round(F.col("k") + F.sqrt(F.col("k").cast("double")) * F.sqrt(-2 * F.log(F.greatest(u, F.lit(1e-9)))) * F.cos(6.283185307179586 * v))).cast("long")
-    weighted = each.withColumn("w", F.when(F.col("k") <= 8, exact).otherwise(normal)).where("w > 0")
-    found = weighted.groupBy("replicate").agg(F.percentile("value", F.lit(percentile / 100), F.col("w")).alias("t"))
+    rows = errors.where(F.col(error).isNotNull() & ~F.isnan(error))
+    n = rows.count()
+    names = "threshold double, ci_low double, ci_high double, median double, replicates long, n_samples long, relative_width double"
+    point = one_row(rows, [error], [percentile / 100]).select(F.col(error)[0].alias("threshold"))
+    if n < 2:
+        one = point.select("threshold", F.col("threshold").alias("ci_low"), F.col("threshold").alias("ci_high"), F.col("threshold").alias("median"), F.lit(0).cast("long").alias("replicates"), F.lit(n).cast("long").alias("n_samples"), F.lit(0.0).alias("relative_width"))
+        return one.to(StructType.fromDDL(names))
+    position = (n - 1) * percentile / 100
+    rank, weight = int(position), position - int(position)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i in batch["id"]:
+                rng = np.random.default_rng([seed, int(i)])
+                u = rng.beta(rank + 1, n - rank)
+                after = 1 - (1 - u) * rng.random() ** (1 / (n - rank - 1)) if rank + 1 < n else u
+                out += [(i, 0, min(int(u * n), n - 1)), (i, 1, min(int(after * n), n - 1))]
+            yield pd.DataFrame(out, columns=["replicate", "side", "rank"])
+
+    drawn = written(errors.sparkSession.range(replicates).mapInPandas(draw, "replicate long, side int, rank long"), "ranks")
+    first, last = drawn.agg(F.min("rank"), F.max("rank")).head()
+    found = at_ranks(rows, error, drawn, first, last, n).groupBy("replicate").agg(F.max(F.when(F.col("side") == 0, F.col("value"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("value"))).alias("b"))
     low, high = (1 - ci) / 2, 1 - (1 - ci) / 2
-    out = found.agg(F.percentile("t", F.lit(low)).alias("ci_low"), F.percentile("t", F.lit(high)).alias("ci_high"), F.percentile("t", F.lit(0.5)).alias("median"), F.count("*").alias("replicates"))
-    return out.withColumn("relative_width", F.try_divide(F.col("ci_high") - F.col("ci_low"), F.col("median")))
+    # A row for each replicate.
+    spread = found.select((F.col("a") + weight * (F.col("b") - F.col("a"))).alias("t")).agg(F.percentile("t", F.array(F.lit(low), F.lit(high), F.lit(0.5))).alias("q"), F.count("*").alias("replicates"))
+    out = point.join(F.broadcast(spread)).select("threshold", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"), F.col("q")[2].alias("median"), "replicates", F.lit(n).cast("long").alias("n_samples"))
+    return out.withColumn("relative_width", F.try_divide(F.col("ci_high") - F.col("ci_low"), F.col("threshold"))).to(StructType.fromDDL(names))
 
 
 def histogram(errors: DataFrame, bins: int = 12, error: str = "error") -> DataFrame:
@@ -145,8 +170,9 @@ def group_shift(df: DataFrame, columns: Sequence[str], group: Column) -> DataFra
 def distribution(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """count, mean, std, min, quartiles and max of columns, as rows."""
     long = df.unpivot(list(keys), list(columns), "feature", "value").where("value is not null")
-    q = lambda p: F.percentile("value", F.lit(p))
-    return long.groupBy(*keys, "feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), F.max("value").alias("max"))
+    stats = long.groupBy(*keys, "feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    q = F.col("quantiles")
+    return with_percentiles(stats, df, columns, [0.25, 0.5, 0.75], keys).select(*keys, "feature", "n", "mean", "std", "min", q[0].alias("p25"), q[1].alias("median"), q[2].alias("p75"), "max")
 
 
 def compatibility(left: DataFrame, right: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
@@ -154,12 +180,14 @@ def compatibility(left: DataFrame, right: DataFrame, mapping: Mapping[str, str])
     def stats(df: DataFrame, names: Sequence[str], side: str) -> DataFrame:
         known = [c for c in names if c in df.columns]
         long = df.select(*[F.col(c).cast("double") for c in known]).unpivot([], known, "feature", "value").where("value is not null")
-        return long.groupBy("feature").agg(*[f.alias(f"{side}_{n}") for n, f in (("n", F.count("*")), ("mean", F.avg("value")), ("std", F.stddev_pop("value")), ("p50", F.percentile("value", F.lit(0.5))), ("p90", F.percentile("value", F.lit(0.9))))])
+        stats = long.groupBy("feature").agg(*[f.alias(f"{side}_{n}") for n, f in (("n", F.count("*")), ("mean", F.avg("value")), ("std", F.stddev_pop("value")))])
+        return with_percentiles(stats, df, known, [0.5, 0.9]).withColumns({f"{side}_p50": F.col("quantiles")[0], f"{side}_p90": F.col("quantiles")[1]}).drop("quantiles")
 
     names = F.create_map(*[x for a, b in mapping.items() for x in (F.lit(a), F.lit(b))])
     a = stats(left, list(mapping), "left").withColumn("right_feature", F.element_at(names, F.col("feature")))
     b = stats(right, list(mapping.values()), "right").withColumnRenamed("feature", "right_feature")
-    return a.join(b, "right_feature").withColumn("mean_ratio", F.try_divide(F.col("right_mean"), F.col("left_mean")))
+    # A row for each feature; the estimate of rows made by unpivot says nothing.
+    return a.join(b.hint("merge"), "right_feature").withColumn("mean_ratio", F.try_divide(F.col("right_mean"), F.col("left_mean")))
 
 
 def compatibility_decision(found: DataFrame, enough: int = 10, some: int = 5) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from penlight.operators.quantiles import one_row
+
 LATENT, TREES, SUBSAMPLE = 32, 200, 256
 
 
@@ -110,12 +112,15 @@ def isolation_scores(train: DataFrame, windows: DataFrame, vector: str, key: str
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:
+            if not len(x):
+                yield pd.Series(dtype=float)
+                continue
             points, total = np.stack(x.to_numpy()).astype(float), np.zeros(len(x))
             for tree in sent.value:
                 path_lengths(tree, points, total, np.arange(len(x)))
             yield pd.Series(2.0 ** (-total / max(len(sent.value), 1) / max(usual, 1e-9)))
 
-    limit = train.select(score(vector).alias("s")).agg(F.percentile("s", F.lit(1 - contamination)).alias("_limit"))
+    limit = one_row(train.select(score(vector).alias("s")), ["s"], [1 - contamination]).select(F.col("s")[0].alias("_limit"))
     # One row.
     return windows.withColumn("score", score(vector)).join(F.broadcast(limit)).withColumn("outlier", F.col("score") > F.col("_limit")).drop("_limit")
 

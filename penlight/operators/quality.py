@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from penlight.operators.quantiles import one_row
+
 # Plausible ranges of readings.
 PLAUSIBLE = {
     "rectal_temperature_mean": (35.0, 42.0),
@@ -53,7 +55,7 @@ def sentinel_counts(df: DataFrame, columns: Sequence[str], codes: Sequence[float
 
 def imputed(df: DataFrame, features: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
     """Nulls as the feature's median over `fit` (all rows of df if None), as 0 where there is none."""
-    medians = (fit if fit is not None else df).agg(*[F.percentile(c, F.lit(0.5)).alias(f"_{c}") for c in features])
+    medians = one_row(fit if fit is not None else df, features, [0.5]).select(*[F.col(c)[0].alias(f"_{c}") for c in features])
     # One row of medians.
     return df.join(F.broadcast(medians)).withColumns({c: F.coalesce(c, f"_{c}", F.lit(0.0)) for c in features}).select(*df.columns)
 
