@@ -57,12 +57,17 @@ SLOT_BITS, CONTEXTS = 9, 32
 MASK, WORD, LEAST_RANGE = np.uint64(2**48 - 1), np.uint64(16), np.uint64(2**32 - 1)
 #: Frequencies of classes add up to 2**12, those of a table to 2**16, both together to 2**28.
 CLASS_BITS, ALL_BITS = 12, np.uint64(28)
-#: Signs that are never part of a piece with letters or digits; the apostrophe is, as in 's.
+#: Signs that are no part of a piece with letters or digits; the apostrophe may be, as in 's. Beside any other symbol they are one piece with it.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SEPARATORS = re.compile("[\x1c-\x1f]")
 BLOCK_SCHEMA = "part int, block int, doc_ids binary, lengths binary, ids binary, frequencies binary, lanes binary, code binary, crc32 long, n_ids long"
 
 
+def separate(c: str) -> bool:
+    """An ASCII digit or a Latin letter: never in one piece with a sign."""
+    return c < "\u0250" and (c.isalpha() or c.isdecimal())
+
+
 class ChunkIds(dict):
     """Ids (16 bits each) of the chunks that white space separates; no piece of the tokenizer crosses white space."""
 
@@ -105,8 +110,8 @@ class ChunkIds(dict):
         return out
 
     def learn(self, chunks: list[str]) -> None:
-        """Adds the ids of chunks. Signs at either end of a chunk are pieces of their own, so its core is encoded once for all signs around it."""
-        cored = [(c, c.strip(SIGNS)) for c in chunks if not self.alone.search(c)]
+        """Adds the ids of chunks. Signs at either end of a chunk are pieces of their own where a letter or digit stands next to them; such a core is encoded once for all signs around it."""
+        cored = [(c, core if core and separate(core[0]) and separate(core[-1]) else "") for c in chunks if not self.alone.search(c) for core in (c.strip(SIGNS),)]
         parts = [(c, c[: c.index(core)], core, c[c.index(core) + len(core) :]) for c, core in cored if core and len(core) < len(c)]
         self.encode_chunks([c for c in chunks if self.alone.search(c)], [c for c, core in cored if not core or len(core) == len(c)])
         new = {x for p in parts for x in p[1:] if x and x not in self}

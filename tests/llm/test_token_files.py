@@ -72,3 +72,15 @@ def test_empty_table(spark):
     folder = new_folder(spark, "none")
     tf.write_tokens(spark.createDataFrame([], "doc_id long, text string"), folder)
     assert tf.read_tokens(spark, folder).count() == 0
+
+
+def test_signs_beside_other_symbols(spark):
+    rng = np.random.default_rng(5)
+    parts = ["yes", "done", "a", "5", "Ab1", "é", "ß", "中", "²", "Σ", "'s", "'", "“", "”", "…", "–", "€", "»", "«", "‘", "’", "🙂", "̸", "​", ".", ",", "!", "(", ")", "-", "\"", "*", "/", "<|endoftext|>", " ", " ", "\n"]
+    texts = ["“yes”.", "done…)", "a–,", "5€.", "»ja«.", "(‘a’)", "🙂!"]
+    texts += ["".join(parts[i] for i in rng.integers(0, len(parts), n)) for n in rng.integers(1, 9, 100_000)]
+    t, chunks = Tokenizer.from_file(public_tokenizers.path(tf.VOCABULARY)), tf.ChunkIds(public_tokenizers.path(tf.VOCABULARY))
+    for at in range(0, len(texts), 5_000):
+        some = texts[at : at + 5_000]
+        for text, mine, theirs in zip(some, chunks.encode(some), t.encode_batch(some, add_special_tokens=False)):
+            assert mine.tolist() == [*theirs.ids, tf.END], text
