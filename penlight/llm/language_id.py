@@ -6,8 +6,8 @@ for the word's ends) gives its log frequencies, and the word scores their mean,
 to a word. The language with the highest sum wins; its score is the posterior share.
 
 The model is fitted on a bounded sample of labelled documents (`SAMPLE`, those of
-smallest id hash among the ones that may be learned from) and keeps at most `WORDS`
-words and `GRAMS` n-grams: together they are a few MB, whatever the size of the input.
+smallest id hash among the ones that may be learned from) and keeps all words and n-grams
+of that sample.
 
 Nulls and edges: `und` with score 0 for a null text or one without letters, and for all
 texts when there is nothing to learn from; rows with a null lang are not learned from;
@@ -30,14 +30,20 @@ from pyspark.sql import functions as F
 from penlight.llm._shared import held_out, sample_limit
 
 SAMPLE = 3_000
-WORDS, GRAMS = 60_000, 40_000
 ORDER = 4
 #: What an unseen event counts as, and the words that a worker remembers between documents.
 ADDED, REMEMBERED = 0.5, 300_000
 UNKNOWN = "und"
-#: Code points of \\w that are numbers but no digits, such as superscripts, fractions and Roman numerals; they are no letters either.
-NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
+#: Letters, and the numbers among \\w that are no digits: superscripts, fractions, Roman numerals.
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def letters(text: str) -> list[str]:
+    """Runs of letters in lower case. The rare run with a number in it is no run of letters and is cut there."""
+    found = LETTERS.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 def grams(word: str) -> Iterator[str]:
@@ -56,30 +62,24 @@ class LanguageModel(dict):
         at = {lang: i for i, lang in enumerate(self.languages)}
         words: dict[str, Counter] = {lang: Counter() for lang in self.languages}
         for lang, text in texts:
-            words[lang].update(LETTERS.findall(text.lower()))
+            words[lang].update(letters(text))
         pieces: dict[str, Counter] = {lang: Counter() for lang in self.languages}
         for lang, counts in words.items():
             for word, n in counts.items():
                 for g in grams(word):
                     pieces[lang][g] += n
-        self.known = self.table(words, at, WORDS)
-        vectors = self.table(pieces, at, GRAMS)
-        self.pieces = {gram: i for i, gram in enumerate(vectors)}
-        self.piece_rows = np.array(list(vectors.values())).reshape(len(vectors), len(self.languages))
+        self.known, self.known_rows = self.table(words, at)
+        self.pieces, self.piece_rows = self.table(pieces, at)
         self.rows = np.zeros((1024, len(self.languages)))
 
-    def table(self, counts: dict[str, Counter], at: dict[str, int], most: int) -> dict[str, np.ndarray]:
-        total = Counter()
-        for c in counts.values():
-            total.update(c)
-        kept = [k for k, n in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most] if n > 1 or len(k) == 1]
+    def table(self, counts: dict[str, Counter], at: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
+        """The place of every word or n-gram seen, and a row for each with its log frequencies, less their mean."""
+        kept = sorted(set().union(*counts.values()))
         sums = np.array([sum(counts[lang].values()) for lang in self.languages], dtype=float)
         made = np.array([[counts[lang][k] for lang in self.languages] for k in kept], dtype=float).reshape(len(kept), len(at))
-        if not kept:
-            return {}
         logs = np.log((made + ADDED) / (sums + ADDED * (len(kept) + 1)))
         # Only differences between languages matter; this keeps long texts within range.
-        return dict(zip(kept, logs - logs.mean(axis=1, keepdims=True)))
+        return {k: i for i, k in enumerate(kept)}, (logs - logs.mean(axis=1, keepdims=True) if kept else logs)
 
     def backed_off(self, word: str) -> np.ndarray:
         marked, get, rows = f"<{word}>", self.pieces.get, []
@@ -95,12 +95,12 @@ class LanguageModel(dict):
         if at == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         found = self.known.get(word)
-        self.rows[at] = self.backed_off(word) if found is None else found
+        self.rows[at] = self.backed_off(word) if found is None else self.known_rows[found]
         self[word] = at
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
+        words = letters(text) if text else []
         if not words or not self.languages:
             return UNKNOWN, 0.0
         if len(self) > REMEMBERED:
@@ -123,7 +123,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score. The model goes to the tasks once: at most WORDS + GRAMS short strings and vectors."""
+    """docs with lang_pred and score. The model goes to the tasks once: the words and n-grams of the sample, a row of numbers each."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
