@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from penlight.operators import histories
 from penlight.operators.quality import has_token
 from penlight.operators.rules import MODEL_CAP, MODEL_WEIGHT, tier
 
@@ -116,10 +117,10 @@ def incident_queue(queue: DataFrame, gap_hours: int = 6) -> DataFrame:
     incident_id counts by queue in order of priority.
     """
     keys = ["queue", "chamber_id", "reason"]
-    ordered = Window.partitionBy(*keys).orderBy("start_datetime", "end_datetime", "track_score", "management_score", "environment_score")
-    before = F.max("end_datetime").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    late = F.coalesce(F.col("start_datetime") > before + F.make_dt_interval(hours=F.lit(gap_hours)), F.lit(False))
-    rows = queue.withColumn("_late", late.cast("int")).withColumn("_no", F.sum("_late").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["start_datetime", "end_datetime", "track_score", "management_score", "environment_score"]
+    ends = histories.running(queue, F.col("end_datetime"), F.max, keys, order, "_before", inclusive=False)
+    late = F.coalesce(F.col("start_datetime") > F.col("_before") + F.make_dt_interval(hours=F.lit(gap_hours)), F.lit(False))
+    rows = histories.running(ends, late.cast("int"), F.sum, keys, order, "_no", inclusive=True)
     sorted_set = lambda c: F.array_join(F.array_sort(F.filter(F.collect_set(c), lambda x: x != "")), ",")
     found = rows.groupBy(*keys, "_no").agg(
         F.min("priority_rank").alias("priority_rank"),

@@ -1,17 +1,18 @@
 """Entity time series: aggregation, rolling statistics, windows, splits, scaling, confirmation.
 
-Every function takes and returns DataFrames and keeps to one partitioning by entity key,
-so that a chain of them shuffles once.
+Every function takes and returns DataFrames. Rolling statistics, windows and runs go by
+bounded parts of an entity's history (see histories).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY_MICROS = 86_400_000_000
+from penlight.operators import histories
+from penlight.operators.histories import DAY_MICROS
 
 
 def two_level_mean(df: DataFrame, features: Sequence[str], keys: Sequence[str], animal: str | None, spread: Sequence[str] = ()) -> DataFrame:
@@ -25,51 +26,48 @@ def two_level_mean(df: DataFrame, features: Sequence[str], keys: Sequence[str],
     return each.groupBy(*keys).agg(*aggs, F.count(animal).alias("pig_count"), F.sum("_frames").alias("frame_count"))
 
 
-def micros(time: str) -> Column:
-    return F.unix_micros(F.col(time).cast("timestamp"))
-
-
 def rolling_features(df: DataFrame, columns: Sequence[str], keys: Sequence[str], time: str = "datetime", days: int = 3) -> DataFrame:
     """Trailing mean, sample std and z-score over (t - days, t], and the change from the row before."""
-    ordered = Window.partitionBy(*keys).orderBy(micros(time))
-    span = ordered.rangeBetween(1 - days * DAY_MICROS, 0)
+    span = Window.partitionBy(*keys, "_bucket").orderBy(histories.micros(time)).rangeBetween(1 - days * DAY_MICROS, 0)
+    over = {f"_{name}_{c}": f(c).over(span) for c in columns for name, f in (("mean", F.avg), ("std", F.stddev_samp))}
+    near = histories.bucketed(df, keys, time, days * DAY_MICROS).withColumns(over).where("_own").drop("_own")
+    rows = histories.with_previous(near, columns, keys, time)
     out = {}
     for c in columns:
-        mean, std = F.avg(c).over(span), F.stddev_samp(c).over(span)
-        z = F.try_divide(F.col(c) - mean, std)
+        mean, std = F.col(f"_mean_{c}"), F.col(f"_std_{c}")
         out |= {
             f"{c}_roll_mean_{days}d": mean,
             f"{c}_roll_std_{days}d": F.coalesce(std, F.lit(0.0)),
-            f"{c}_zscore_{days}d": F.coalesce(z, F.lit(0.0)),
-            f"{c}_delta": F.coalesce(F.col(c) - F.lag(c).over(ordered), F.lit(0.0)),
+            f"{c}_zscore_{days}d": F.coalesce(F.try_divide(F.col(c) - mean, std), F.lit(0.0)),
+            f"{c}_delta": F.coalesce(F.col(c) - F.col(f"_before_{c}"), F.lit(0.0)),
         }
-    return df.withColumns(out)
+    return rows.withColumns(out).select(*df.columns, *out)
 
 
 def window_table(df: DataFrame, features: Sequence[str], keys: Sequence[str], length: int, time: str = "datetime") -> DataFrame:
     """Mean, max and min of each feature over every full run of `length` rows; one row for each start."""
-    ordered = Window.partitionBy(*keys).orderBy(time)
+    rows, ordered = histories.in_runs(df, keys, time, length - 1)
     ahead = ordered.rowsBetween(0, length - 1)
     aggs = {f"{c}__w{name}": f(c).over(ahead) for c in features for name, f in (("mean", F.avg), ("max", F.max), ("min", F.min))}
-    out = df.withColumns(aggs | {"end_datetime": F.lead(time, length - 1).over(ordered), "_rows": F.count("*").over(ahead), "window_start_index": (F.row_number().over(ordered) - 1).cast("long")})
-    return out.where(F.col("_rows") == length).select(*keys, F.col(time).alias("start_datetime"), "end_datetime", "window_start_index", *aggs)
+    out = rows.withColumns(aggs | {"end_datetime": F.lead(time, length - 1).over(ordered), "_rows": F.count("*").over(ahead)})
+    return out.where(F.col("_own") & (F.col("_rows") == length)).select(*keys, F.col(time).alias("start_datetime"), "end_datetime", F.col("_i").alias("window_start_index"), *aggs)
 
 
 def sequences(df: DataFrame, features: Sequence[str], keys: Sequence[str], length: int, time: str = "datetime", last: Sequence[str] = ()) -> DataFrame:
     """Every full run of `length` rows as a matrix column beside its start, end and the `last` columns of its final row."""
-    ordered = Window.partitionBy(*keys).orderBy(time)
+    rows, ordered = histories.in_runs(df, keys, time, length - 1)
     ahead = ordered.rowsBetween(0, length - 1)
     row = F.array(*[F.col(c).cast("double") for c in features])
-    out = df.withColumns({"matrix": F.collect_list(row).over(ahead), "end_datetime": F.lead(time, length - 1).over(ordered)} | {f"end_{c}": F.lead(c, length - 1).over(ordered) for c in last})
-    return out.where(F.size("matrix") == length).select(*keys, F.col(time).alias("start_datetime"), "end_datetime", *[f"end_{c}" for c in last], "matrix")
+    out = rows.withColumns({"matrix": F.collect_list(row).over(ahead), "end_datetime": F.lead(time, length - 1).over(ordered)} | {f"end_{c}": F.lead(c, length - 1).over(ordered) for c in last})
+    return out.where(F.col("_own") & (F.size("matrix") == length)).select(*keys, F.col(time).alias("start_datetime"), "end_datetime", *[f"end_{c}" for c in last], "matrix")
 
 
 def labelled_windows(df: DataFrame, label: str, split: str, keys: Sequence[str], length: int, time: str = "datetime") -> DataFrame:
     """For each full run of `length` rows: commonest split (smallest on a tie), mean and max of the label, rows."""
-    ordered = Window.partitionBy(*keys).orderBy(time)
+    rows, ordered = histories.in_runs(df, keys, time, length - 1)
     ahead = ordered.rowsBetween(0, length - 1)
-    out = df.withColumns({"window_split": F.mode(split, True).over(ahead), "label_mean": F.avg(label).over(ahead), "label_max": F.max(label).over(ahead), "rows": F.count("*").over(ahead), "end_datetime": F.lead(time, length - 1).over(ordered)})
-    return out.where(F.col("rows") == length).select(*keys, F.col(time).alias("start_datetime"), "end_datetime", "window_split", "label_mean", "label_max", "rows")
+    out = rows.withColumns({"window_split": F.mode(split, True).over(ahead), "label_mean": F.avg(label).over(ahead), "label_max": F.max(label).over(ahead), "rows": F.count("*").over(ahead), "end_datetime": F.lead(time, length - 1).over(ordered)})
+    return out.where(F.col("_own") & (F.col("rows") == length)).select(*keys, F.col(time).alias("start_datetime"), "end_datetime", "window_split", "label_mean", "label_max", "rows")
 
 
 def dense_bins(df: DataFrame, features: Sequence[str], keys: Sequence[str], seconds: int, time: str = "datetime") -> DataFrame:
@@ -99,12 +97,8 @@ def interpolated(df: DataFrame, columns: Sequence[str], keys: Sequence[str], tim
 
 def confirm_runs(df: DataFrame, flag: str, keys: Sequence[str], order: Sequence[str], required: int = 3, name: str = "confirmed") -> DataFrame:
     """Keeps a flag only in runs of at least `required` rows; runs end with their entity."""
-    ordered = Window.partitionBy(*keys).orderBy(*order)
     on = F.coalesce(F.col(flag), F.lit(False))
-    island = F.sum((~on).cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("_island", island)
-    size = F.count(F.when(on, 1)).over(Window.partitionBy(*keys, "_island"))
-    return df.withColumn(name, on & (size >= required)).drop("_island")
+    return histories.run_lengths(df, on, keys, order, "_length").withColumn(name, F.col("_length") >= required).drop("_length")
 
 
 def split_by_time(df: DataFrame, keys: Sequence[str], train_ratio: float, length: int, least_windows: int = 10, time: str = "datetime") -> tuple[DataFrame, DataFrame]:
@@ -158,7 +152,8 @@ def fit_scaler(train: DataFrame, features: Sequence[str], keys: Sequence[str] =
 def scale(df: DataFrame, scaler: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """df with scaled features; an entity that the scaler has not seen is an error when its row is read."""
     if keys:
-        joined = df.join(scaler.withColumn("_seen", F.lit(True)), list(keys), "left")
+        # df may come from an explode, whose size Spark does not know.
+        joined = df.join(scaler.withColumn("_seen", F.lit(True)).hint("merge"), list(keys), "left")
         known = F.coalesce(F.col("_seen"), F.raise_error(F.concat(F.lit("no scaler for "), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]))).cast("boolean"))
     else:
         # One row of statistics.
