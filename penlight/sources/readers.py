@@ -1,17 +1,16 @@
-"""Readers for nested JSON, archives, annotation XML, CSV variants and rule files; sinks for queues and features."""
+"""Readers for nested JSON, keypoint documents, CSV variants and rule files; sinks for queues and features. Archives have a module of their own."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from penlight.operators.quality import leading_number
 from penlight.operators.rules import RULES_SCHEMA
+from penlight.sources import archives
 
 # Output column -> type and the paths it may stand under, in order of preference.
 LABEL_PATHS = {
@@ -30,13 +29,7 @@ LABEL_PATHS = {
     "feedstuff_volume": ("double", ("$.FeedingAndManagementData['feedstuff-volume']", "$.FeedingAndManagementData.feedstuff_volume")),
     "watersupply": ("double", ("$.FeedingAndManagementData['water-supply']", "$.FeedingAndManagementData.watersupply")),
 }
-XML_SCHEMA = (
-    "image array<struct<_id:long,_name:string,_width:double,_height:double,points:array<struct<_label:string,_points:string>>,"
-    "box:array<struct<_label:string,_xtl:double,_ytl:double,_xbr:double,_ybr:double>>>>"
-)
 TRACKING = ("frame", "track_id", "x", "y", "w", "h", "conf")
-#: Bytes of one archive member that are read; a larger one is an error row, not a truncated text.
-LARGEST_MEMBER = 64 << 20
 
 
 def files(spark: SparkSession, folder: str, pattern: str, most: int | None = None) -> DataFrame:
@@ -60,29 +53,8 @@ def labels(texts: DataFrame, paths: Mapping[str, tuple[str, Sequence[str]]] = LA
 
 
 def archive_members(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
-    """archive, member, text and problem of all members of all zip files with a suffix; an archive is opened by the task that holds it."""
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["archive", "member", "text", "problem"]
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for info in sorted(z.infolist(), key=lambda i: i.filename):
-                            if not info.filename.lower().endswith(suffix):
-                                continue
-                            if info.file_size > LARGEST_MEMBER:
-                                yield pd.DataFrame([(path, info.filename, None, "member too large")], columns=columns)
-                                continue
-                            try:
-                                yield pd.DataFrame([(path, info.filename, z.read(info).decode("utf-8-sig"), None)], columns=columns)
-                            except (UnicodeDecodeError, zipfile.BadZipFile) as e:
-                                yield pd.DataFrame([(path, info.filename, None, type(e).__name__)], columns=columns)
-                except zipfile.BadZipFile as e:
-                    yield pd.DataFrame([(path, None, None, type(e).__name__)], columns=columns)
-
-    zips = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(folder)
-    return zips.select("path", "content").mapInPandas(members, "archive string, member string, text string, problem string")
+    """archive, member, text and problem of all members of all zip files with a suffix."""
+    return archives.members(spark, folder, suffix).select("archive", "member", "text", "problem")
 
 
 def quarantined(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,22 +77,6 @@ def keypoint_rows(good: DataFrame) -> DataFrame:
     return out.select("archive", "member", "image", F.col("a.ID").alias("animal"), F.lower("a.ACTION_NAME").alias("action"), (F.col("a.ESTRUS") == "Y").cast("int").alias("estrus"), (F.col("a.INJECTION") == "Y").cast("int").alias("injection"), F.size("_seen").alias("visible_points"), mean("x").alias("center_x"), mean("y").alias("center_y"), (F.array_max(axis("x")) - F.array_min(axis("x"))).alias("span_x"), (F.array_max(axis("y")) - F.array_min(axis("y"))).alias("span_y"))
 
 
-def annotation_rows(members: DataFrame) -> DataFrame:
-    """A row for each points or box annotation of XML documents (archive, member, text)."""
-    images = members.select("archive", "member", F.explode(F.from_xml("text", XML_SCHEMA, {"mode": "PERMISSIVE"})["image"]).alias("i"))
-    base = images.select("archive", "member", F.col("i._id").alias("frame_id"), F.col("i._name").alias("image"), F.col("i._width").alias("frame_width"), F.col("i._height").alias("frame_height"), "i.points", "i.box")
-    keys = ["archive", "member", "frame_id", "image", "frame_width", "frame_height"]
-    p = base.select(*keys, F.explode("points").alias("p"))
-    xy = F.transform(F.split("p._points", ";"), lambda t: F.split(t, ","))
-    xs, ys = (F.transform(xy, lambda t: F.try_element_at(t, F.lit(k)).try_cast("double")) for k in (1, 2))
-    place = lambda v: [((F.array_max(v) + F.array_min(v)) / 2), F.array_max(v) - F.array_min(v)]
-    (cx, sx), (cy, sy) = place(xs), place(ys)
-    points = p.select(*keys, F.lit("points").alias("annotation_type"), F.col("p._label").alias("label"), F.size(xy).alias("point_count"), cx.alias("center_x"), cy.alias("center_y"), sx.alias("span_x"), sy.alias("span_y"))
-    b = base.select(*keys, F.explode("box").alias("b"))
-    box = b.select(*keys, F.lit("box").alias("annotation_type"), F.col("b._label").alias("label"), F.lit(0).alias("point_count"), ((F.col("b._xtl") + F.col("b._xbr")) / 2).alias("center_x"), ((F.col("b._ytl") + F.col("b._ybr")) / 2).alias("center_y"), (F.col("b._xbr") - F.col("b._xtl")).alias("span_x"), (F.col("b._ybr") - F.col("b._ytl")).alias("span_y"))
-    return points.unionByName(box)
-
-
 def csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
     """Header CSV of a known schema, with the file's stem; values that do not fit are null."""
     rows = spark.read.csv(path, schema=schema, header=True, sep=sep, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
@@ -142,13 +98,59 @@ def experiment_files(spark: SparkSession, folder: str, schema: str) -> DataFrame
     return rows.withColumn("experiment", F.regexp_extract(F.col("_metadata.file_path"), r"Exp(\d+)", 1).try_cast("long"))
 
 
-def promoted_header(rows: DataFrame, order: str) -> DataFrame:
-    """Rows below the real header, which is the first row by `order` and names the columns; unnamed ones go."""
-    first = rows.orderBy(order).limit(1).collect()
-    if not first:
-        return rows
-    names = {c: str(first[0][c]).strip() for c in rows.columns if c != order and first[0][c] is not None and str(first[0][c]).strip()}
-    return rows.where(F.col(order) > first[0][order]).select(*[F.col(c).alias(n) for c, n in names.items()])
+def promoted_header(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files whose first line is a title line and whose second names the columns: the rows below, with those names and the file they come from.
+
+    Every file names its own columns; files that name others are an error, and so is a file
+    that is not there. Columns without a name go, and so does a line of names further down.
+    """
+    raw = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=True)
+    columns = raw.columns
+    rows = raw.select(*[F.trim(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)], F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
+    values = [f"c{i}" for i in range(len(columns))]
+    # A file's first row is the first of the split that begins it. One row for each file; only distinct lines of names come here.
+    heads = rows.where("_block = 0").groupBy("source_file").agg(F.min_by(F.array(*values), "_place").alias("names")).select("names").distinct().limit(2).collect()
+    if not heads:
+        return spark.createDataFrame([], "source_file string")
+    if len(heads) > 1:
+        raise ValueError(f"files name their columns differently: {heads[0]['names']} and {heads[1]['names']}")
+    names = heads[0]["names"]
+    is_head = F.array(*[F.coalesce(v, F.lit("")) for v in values]) == F.array(*[F.lit(n or "") for n in names])
+    return rows.where(~is_head).select("source_file", *[F.col(v).alias(n) for v, n in zip(values, names) if n])
+
+
+# Signs of the clinical table, and days from inoculation that are plausible.
+CLINICAL_SIGNS = ("resp", "skincol", "cough", "rrate", "bc", "lam", "feces", "appet")
+PLAUSIBLE_DAYS = 30
+
+
+def by_animal_day(rows: DataFrame, values: Mapping[str, Column], treatment: str = "treatment") -> DataFrame:
+    """pig_id, treatment, pen, dpi and values of rows with a day."""
+    return rows.select(F.col("pigid").cast("string").alias("pig_id"), F.col(treatment).alias("treatment"), "pen", F.col("dpi").try_cast("double").alias("dpi"), *[v.alias(n) for n, v in values.items()]).where("dpi is not null")
+
+
+def rectal_temperatures(rows: DataFrame) -> DataFrame:
+    return by_animal_day(rows, {"rectal_temp_c": F.col("temp").try_cast("double")}, "trt").where("rectal_temp_c is not null")
+
+
+def clinical_scores(rows: DataFrame) -> DataFrame:
+    """Sum of the signs' codes, of those that have one (a cell may hold free text after its code); null without any."""
+    codes = F.filter(F.array(*[leading_number(F.col(c)) for c in CLINICAL_SIGNS]), lambda x: x.isNotNull())
+    score = F.when(F.size(codes) > 0, F.aggregate(codes, F.lit(0.0), lambda a, x: a + x))
+    return by_animal_day(rows, {"clinical_score": score}, "trt").where(F.col("dpi").between(-PLAUSIBLE_DAYS, PLAUSIBLE_DAYS))
+
+
+def activity_counts(rows: DataFrame) -> DataFrame:
+    both = lambda c: F.col(f"{c}_am").try_cast("double") + F.col(f"{c}_pm").try_cast("double")
+    return by_animal_day(rows, {f"{c}_count": both(c) for c in ("active", "inactive")})
+
+
+def viral_loads(rows: DataFrame) -> DataFrame:
+    return by_animal_day(rows, {"viral_load_log10": F.col("`log10rna/ml`").try_cast("double")}).where("viral_load_log10 is not null")
+
+
+def medical_treatments(rows: DataFrame) -> DataFrame:
+    return by_animal_day(rows, {"medical_treatment": F.col("Medical treatment")})
 
 
 def tracking_boxes(rows: DataFrame, fps: float = 30.0) -> DataFrame:

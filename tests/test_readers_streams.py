@@ -42,13 +42,6 @@ def test_archives_keep_bad_members_apart(spark, tmp_path):
     assert rows["2"].visible_points == 0 and rows["2"].center_x is None
 
 
-def test_annotation_xml(spark):
-    xml = '<annotations><image id="0" name="f.png" width="100" height="50"><points label="lying" points="1,2;3,6"/><box label="pig" xtl="0" ytl="0" xbr="10" ybr="20"/></image><image id="1" name="g.png" width="1" height="1"/></annotations>'
-    rows = {r.annotation_type: r for r in readers.annotation_rows(spark.createDataFrame([("a", "m.xml", xml)], "archive string, member string, text string")).collect()}
-    assert (rows["points"].label, rows["points"].point_count, rows["points"].center_x, rows["points"].span_y) == ("lying", 2, 2.0, 4.0)
-    assert (rows["box"].center_x, rows["box"].span_y, rows["box"].frame_id) == (5.0, 20.0, 0) and len(rows) == 2
-
-
 def test_csv_forms(spark, tmp_path):
     (tmp_path / "north.csv").write_text("chamber,value\n1, 2.5\n2,x\n")
     (tmp_path / "south.csv").write_text("chamber,value\n3,4\n")
@@ -59,8 +52,6 @@ def test_csv_forms(spark, tmp_path):
     (tmp_path / "Exp7").mkdir()
     (tmp_path / "Exp7/r.csv").write_text("station,pen\n1,A1\n")
     assert readers.experiment_files(spark, str(tmp_path / "Exp7"), "station int, pen string").first().experiment == 7
-    two = spark.createDataFrame([(0, "pig", "dpi", None), (1, "7", "-3", "z")], "i int, a string, b string, c string")
-    assert [r.asDict() for r in readers.promoted_header(two, "i").collect()] == [{"pig": "7", "dpi": "-3"}]
     with pytest.raises(ValueError, match="conf"):
         readers.tracking_boxes(spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0, 1.0)], "frame long, track_id long, x double, y double, w double, h double"))
 
