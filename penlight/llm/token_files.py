@@ -49,7 +49,7 @@ BROADCAST_BLOCKS = 200_000
 #: Ids whose blocks are coded together.
 TOGETHER = 6_000_000
 #: Chunks of text that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 40
+REMEMBERED, LONGEST = 1_200_000, 40
 #: Documents that are split and encoded together.
 STEP = 500
 #: Slots (a power of two) of a lane's memory of each order, and contexts of the weights.
