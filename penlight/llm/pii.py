@@ -42,6 +42,8 @@ CONTEXT = {
 BOOST, THRESHOLD = 0.3, 0.5
 #: Code points before and after a span in which context words count, as far as the next span of its kind.
 WINDOW = 48
+#: Matches whose offsets are summed up one by one.
+SLICE = 256
 SPANS = "array<struct<start:int,kind_no:int,kind:string,end:int,score:double>>"
 
 
@@ -78,23 +80,46 @@ def score(kind: str, before: Column, after: Column) -> Column:
     return F.least(F.lit(SCORES[kind]) + F.when(near, BOOST).otherwise(0.0), F.lit(1.0))
 
 
+def in_slices(items: Column) -> Column:
+    """An array cut into arrays of at most SLICE elements: what grows an array step by step stays within one of them, since each step copies it."""
+
+    def cut(held: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(held) / F.lit(SLICE)), F.lit(1)).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(held, i * SLICE + 1, SLICE))
+
+    # As the variable of a lambda the array is made once, not for every slice.
+    return F.transform(F.array(items), cut)[0]
+
+
+def starts_of(lengths: Column) -> Column:
+    """For each element the sum of those before it."""
+    return F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+
 def kind_spans(kind: str, found: Column, pieces: Column) -> Column:
-    """Spans of one kind. found: the matches in order; pieces: the text between them. The offset of a match is the length of all before it."""
+    """Spans of one kind. found: the matches in order; pieces: the text between them. The offset of a match is the length of all before it: within its slice, and of the slices before."""
     no = list(PATTERNS).index(kind)
     pairs = F.arrays_zip(found.alias("m"), F.slice(pieces, 1, F.size(found)).alias("p"), F.slice(pieces, 2, F.size(found)).alias("q"))
-    place = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["p"])).alias("start"), (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end"), x["m"].alias("value"), F.right(x["p"], F.lit(WINDOW)).alias("before"), F.left(x["q"], F.lit(WINDOW)).alias("after"))).alias("out"),
+    placed = F.transform(
+        in_slices(pairs),
+        lambda part: F.aggregate(
+            part,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>").alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
+                F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["p"])).alias("start"), (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end"), x["m"].alias("value"), F.right(x["p"], F.lit(WINDOW)).alias("before"), F.left(x["q"], F.lit(WINDOW)).alias("after"))).alias("out"),
+            ),
         ),
-        lambda acc: acc["out"],
     )
-    good = F.filter(place, lambda s: confirmed(kind, s["value"]))
-    spans = F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), s["end"].alias("end"), score(kind, s["before"], s["after"]).alias("score")))
-    if kind not in BASE:
-        spans = F.filter(spans, lambda s: s["score"] >= THRESHOLD)
+
+    def confirmed_spans(part: Column, base: Column) -> Column:
+        good = F.filter(part["out"], lambda s: confirmed(kind, s["value"]))
+        spans = F.transform(good, lambda s: F.struct((base + s["start"]).alias("start"), F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), (base + s["end"]).alias("end"), score(kind, s["before"], s["after"]).alias("score")))
+        return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= THRESHOLD)
+
+    # The slices' starts are held beside them; a lambda then sees one slice and its start.
+    held = F.transform(F.array(placed), lambda p: F.arrays_zip(p.alias("part"), starts_of(F.transform(p, lambda x: x["at"])).alias("base")))
+    spans = F.flatten(F.transform(held[0], lambda x: confirmed_spans(x["part"], x["base"])))
     return F.when(F.size(found) > 0, spans.cast(SPANS)).otherwise(F.array().cast(SPANS))
 
 
@@ -120,18 +145,29 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; of spans that overlap, the first stands for both."""
     text, spans = F.col(text_col), unused(docs, "_spans")
-    cut = F.aggregate(
-        F.col(spans),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.array_append(F.array_append(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"])), F.concat(F.lit("<"), s["kind"], F.lit(">"))).alias("out"))
-        ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)),
-    )
     # The spans get a name of their own, so that a column pii of the input stays what it is.
     kept = docs.withColumnRenamed("pii", f"{spans}_kept")
     found = find_spans(kept, text_col).withColumnRenamed("pii", spans).withColumnRenamed(f"{spans}_kept", "pii")
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, cut).otherwise(text)).select(*docs.columns)
+    reach, parts = f"{spans}_reach", f"{spans}_parts"
+    # Where the spans of the slices before end, and with it where each slice's stretch of text begins.
+    furthest = F.transform(in_slices(F.col(spans)), lambda part: F.array_max(F.transform(part, lambda s: s["end"])))
+    ends = F.aggregate(furthest, F.array(F.lit(0)), lambda acc, e: F.array_append(acc, F.greatest(F.element_at(acc, -1), F.coalesce(e, F.lit(0)))))
+    held = found.withColumn(reach, F.when(F.size(spans) > 0, ends))
+    stretch = F.zip_with(in_slices(F.col(spans)), F.sequence(F.lit(1), F.size(reach) - 1), lambda part, i: F.struct(part.alias("spans"), F.element_at(reach, i).alias("from"), F.substr(text, F.element_at(reach, i) + 1, F.element_at(reach, i + 1) - F.element_at(reach, i)).alias("text")))
+    held = held.withColumn(parts, F.when(F.size(spans) > 0, stretch))
+    cut = F.transform(
+        F.col(parts),
+        lambda p: F.aggregate(
+            p["spans"],
+            F.struct(p["from"].alias("at"), F.array().cast("array<string>").alias("out")),
+            lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
+                F.struct(s["end"].alias("at"), F.array_append(F.array_append(acc["out"], F.substr(p["text"], acc["at"] - p["from"] + 1, s["start"] - acc["at"])), F.concat(F.lit("<"), s["kind"], F.lit(">"))).alias("out"))
+            ),
+            lambda acc: F.array_join(acc["out"], ""),
+        ),
+    )
+    whole = F.concat(F.array_join(cut, ""), F.substr(text, F.element_at(reach, -1) + 1))
+    return held.withColumn(text_col, F.when(F.size(spans) > 0, whole).otherwise(text)).select(*docs.columns)
 
 
 def joined(spans: Column) -> Column:

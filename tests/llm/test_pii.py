@@ -93,3 +93,35 @@ def test_mask_keeps_the_rest_and_other_columns(spark):
 
 def test_empty_table(spark):
     assert pii.find_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("slice_", [256, 3])
+def test_slices_change_nothing(spark, monkeypatch, slice_):
+    """Texts with more matches than a slice has, spans that overlap across slices, and text between and after them."""
+    monkeypatch.setattr(pii, "SLICE", slice_)
+    texts = ["é 10.0.0.1 " * 40 + "tail", "+1 (456) 555-2186 4111111111111111 a@b.co " * 9, "a@b.co", "none", " +4111111111111111+4111111111111111+4111111111111111 x", "4111 1111 1111 1111 10.1.1.1 " * 7 + "ü"]
+    rows = outcome(spark, texts)
+    for i, text in enumerate(texts):
+        base = ",".join(f"{s.kind}:{s.start}:{s.end}" for s in rows[i].pii if s.kind in pii.BASE)
+        assert base == brute(text)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.masked(docs).collect():
+        out, at = [], 0
+        for s in rows[r.doc_id].pii:
+            if s.start >= at:
+                out += [texts[r.doc_id][at : s.start], f"<{s.kind}>"]
+            at = max(at, s.end)
+        assert r.text == "".join(out) + texts[r.doc_id][at:]
+
+
+def test_a_hundred_thousand_matches(spark):
+    import time
+
+    n = 100_000
+    text = " ".join(f"10.{i % 250}.{i // 250 % 250}.7" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    assert len(pii.find_spans(docs).head().pii) == n
+    assert pii.masked(docs).head().text == " ".join(["<ip>"] * n)
+    # Two passes; steps that grew with the square of the matches took hours.
+    assert time.monotonic() - began < 120
