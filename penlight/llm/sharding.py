@@ -3,8 +3,11 @@
 Copies of a text form one group that no shard boundary may split. A partial partition
 has one sum of bytes for each shard; differencing takes the two partial partitions with
 the largest spread and adds them in opposite order, largest sum to smallest, until one
-is left. It runs twice: over the groups of one hash block (each a task's worth), which
-leaves one partial partition for each block, and then over those of all blocks.
+is left. Up to `BLOCK_GROUPS` groups are differenced as a whole. Beyond that the large
+groups (above a `LARGE_PARTS`th of a shard, so some hundred) come first; then all hash
+blocks but one, each a task, with its part of the bytes that the large ones have put into
+the shards as a partial partition of its own, so that it evens them out; and then the
+last block, with all that the shards hold by then. Only those sums reach the driver.
 
 Law: `bytes` (sizes near equal, as far as the largest group allows: one that alone
 exceeds an eighth of all bytes fills its shard).
@@ -18,7 +21,6 @@ are replaced.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from penlight.llm._shared import written
 
 SHARDS = 8
-#: Groups in a block, on average, and the least number of blocks.
-BLOCK_GROUPS, LEAST_BLOCKS = 100_000, 12
+#: Groups in a block, on average, and what part of a shard's bytes makes a group large.
+BLOCK_GROUPS, LARGE_PARTS = 100_000, 64
 #: Documents in a bucket of the numbering, on average, and the least number of buckets of a shard.
 SLOT_ROWS, LEAST_BUCKETS = 100_000, 32
 
@@ -66,47 +68,45 @@ def differenced(partitions: list[list[int]], shards: int) -> list[list[int]]:
     return [out[i] for i in range(len(partitions))]
 
 
-def block_partition(shards: int):
+def dealt(shards: int, base: list[int]):
+    """Deals the groups of a block into shards that already hold `base` bytes: what they hold is one partial partition among the groups."""
+    order = sorted(range(shards), key=lambda k: (base[k], k))
+
     def difference(key: tuple, groups: pd.DataFrame) -> pd.DataFrame:
-        """Deals one block's groups into slots, numbered by ascending sum."""
         groups = groups.sort_values(["bytes", "group"], ascending=[False, True], ignore_index=True)
         single = [[0] * (shards - 1) + [int(x)] for x in groups["bytes"]]
-        slot = [at[-1] for at in differenced(single, shards)]
-        sums = [0] * shards
-        for k, x in zip(slot, groups["bytes"]):
-            sums[k] += int(x)
-        rank = {k: i for i, k in enumerate(sorted(range(shards), key=lambda k: (sums[k], k)))}
-        return pd.DataFrame({"block": key[0], "group": groups["group"], "bytes": groups["bytes"], "block_slot": [rank[k] for k in slot]})
-
-    return difference
-
-
-def join_blocks(shards: int):
-    def difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Deals the slots of all blocks into shards; one row for each block and slot comes in."""
-        frames = [x for x in batches if len(x)]
-        if not frames:
-            return
-        rows = pd.concat(frames, ignore_index=True)
-        blocks = sorted(rows["block"].unique())
-        sums = {b: [0] * shards for b in blocks}
-        for b, k, x in zip(rows["block"], rows["block_slot"], rows["bytes"]):
-            sums[b][int(k)] = int(x)
-        found = differenced([sums[b] for b in blocks], shards)
-        yield pd.DataFrame([(b, k, s) for b, at in zip(blocks, found) for k, s in enumerate(at)], columns=["block", "block_slot", "shard"]).astype({"block": "int64", "block_slot": "int32", "shard": "int32"})
+        found = differenced([*single, [base[k] for k in order]], shards)
+        # The slot that a shard's bytes ended in is that shard.
+        of_slot = dict(zip(found[-1], order))
+        return pd.DataFrame({"group": groups["group"], "bytes": groups["bytes"], "shard": [of_slot[at[-1]] for at in found[:-1]]}).astype({"shard": "int32"})
 
     return difference
 
 
 def shard_groups(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     """groups (group, bytes) with the shard of each."""
-    blocks = max(LEAST_BLOCKS, -(-groups.count() // BLOCK_GROUPS))
-    blocked = groups.withColumn("block", F.pmod(F.xxhash64("group"), F.lit(blocks)))
-    local = written(blocked.groupBy("block").applyInPandas(block_partition(shards), "block long, group string, bytes long, block_slot int"), "blocks")
-    totals = local.groupBy("block", "block_slot").agg(F.sum("bytes").alias("bytes"))
-    # Eight rows for each block of 100,000 groups go to one task.
-    dealt = written(totals.coalesce(1).mapInPandas(join_blocks(shards), "block long, block_slot int, shard int"), "slots")
-    return local.join(dealt.hint("shuffle_hash"), ["block", "block_slot"]).select("group", "bytes", "shard")
+    n, total = groups.agg(F.count("*"), F.sum("bytes")).head()
+    blocks = max(1, -(-n // BLOCK_GROUPS))
+    rows = groups.withColumn("block", F.pmod(F.xxhash64("group"), F.lit(blocks)))
+    schema = "group string, bytes long, shard int"
+
+    def placed(some: DataFrame, base: list[int]) -> DataFrame:
+        return written(some.groupBy("block").applyInPandas(dealt(shards, base), schema), "placed")
+
+    def held(table: DataFrame) -> list[int]:
+        by_shard = {r["shard"]: r["bytes"] for r in table.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()}
+        return [by_shard.get(k, 0) for k in range(shards)]
+
+    if blocks == 1:
+        return placed(rows, [0] * shards)
+    large = F.col("bytes") >= max(1, total // (shards * LARGE_PARTS))
+    # At most shards * LARGE_PARTS groups.
+    first = placed(rows.where(large).withColumn("block", F.lit(-1)), [0] * shards)
+    # Every block evens out its part of what the large groups leave.
+    second = placed(rows.where(~large & (F.col("block") > 0)), [x // (blocks - 1) for x in held(first)])
+    done = first.unionByName(second)
+    # And the last one what all together leave.
+    return done.unionByName(placed(rows.where(~large & (F.col("block") == 0)), held(done)))
 
 
 def numbered(rows: DataFrame, shard: str, order: str, n: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators 4 and 8, and the pipeline, against brute force."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -121,3 +122,42 @@ def test_pipeline_against_its_parts(spark):
     for i in kept:
         sizes[docs[i].source] += len(docs[i].text.split())
     assert len(found) >= len(kept) // 2 and set(sizes) == {docs[r.doc_id].source for r in found}
+
+
+def spread(rows, shards=8):
+    sizes = [0] * shards
+    for r in rows:
+        sizes[r.shard] += r.bytes
+    return max(sizes) - min(sizes)
+
+
+def test_one_block_is_differenced_as_a_whole(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sharding.shard_documents(docs).groupBy("shard").agg(sharding.F.sum("size").alias("bytes")).collect()
+    sizes = {}
+    for r in docs.collect():
+        sizes[r.text] = sizes.get(r.text, 0) + len((r.text or "").encode()) + 1
+    slots = sharding.differenced([[0] * 7 + [v] for v in sorted(sizes.values(), reverse=True)], 8)
+    sums = [0] * 8
+    for v, at in zip(sorted(sizes.values(), reverse=True), slots):
+        sums[at[-1]] += v
+    assert sorted(r.bytes for r in rows) == sorted(sums) and max(sums) - min(sums) <= 2
+
+
+@pytest.mark.parametrize("block", [100_000, 60, 12])
+def test_blocks_keep_the_balance(spark, monkeypatch, block):
+    monkeypatch.setattr(sharding, "BLOCK_GROUPS", block)
+    rng = random.Random(3)
+    sizes = [int(rng.paretovariate(1.1) * 50) for _ in range(600)]
+    sizes += [max(sizes)] * 2
+    rows = sharding.shard_groups(spark.createDataFrame([(f"g{i}", x) for i, x in enumerate(sizes)], "group string, bytes long")).collect()
+    assert sorted(r.bytes for r in rows) == sorted(sizes) and len({r.group for r in rows}) == len(sizes)
+    # Three groups have nearly a shard each, and still all shards come out near equal.
+    assert 0.8 * sum(sizes) / 8 < max(sizes) < sum(sizes) / 8
+    sums = [0] * 8
+    ordered = sorted(sizes, reverse=True)
+    for x, at in zip(ordered, sharding.differenced([[0] * 7 + [x] for x in ordered], 8)):
+        sums[at[-1]] += x
+    whole = max(sums) - min(sums)
+    # The last block has about as many groups as `block` to even out with; a dozen cannot do much for eight shards.
+    assert spread(rows) <= {100_000: whole, 60: whole + 50, 12: sum(sizes) // 64}[block]
