@@ -7,8 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -135,17 +134,103 @@ def group_hold_out(rows: DataFrame, group: str, share: float = 0.2, seed: int =
     return rows.join(chosen.hint("merge"), group, "left").withColumn("split", F.when(F.col("_val"), "val").otherwise("train")).drop("_val")
 
 
-def forest_confusion(rows: DataFrame, features: Sequence[str], label: str, trees: int = 60, depth: int = 10, seed: int = 0) -> DataFrame:
-    """Labels against predictions on the rows tagged val of a class-balanced random forest fitted on the others."""
-    indexed = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(rows).transform(rows)
-    data = VectorAssembler(inputCols=list(features), outputCol="_x").transform(indexed)
-    train = data.where("split = 'train'")
-    sizes = train.groupBy("_y").agg(F.count("*").alias("_k"))
-    total = train.agg(F.count("*").alias("_n"), F.count_distinct("_y").alias("_c"))
-    # A row for each class, and one of totals.
-    weighted = train.join(F.broadcast(sizes), "_y").join(F.broadcast(total)).withColumn("_w", F.col("_n") / (F.col("_c") * F.col("_k")))
-    model = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=depth, seed=seed).fit(weighted)
-    return model.transform(data.where("split = 'val'")).groupBy(F.col("_y").alias("label"), "prediction").agg(F.count("*").alias("n"))
+#: Trees and depth of the forest, rows that a tree sees, and the least rows of a leaf.
+FOREST_TREES, FOREST_DEPTH, BAG, LEAST_LEAF = 300, 12, 2048, 2
+
+
+def grown(x: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int, depth: int, rng: np.random.Generator) -> dict[str, list]:
+    """A classification tree by Gini impurity over a random root-sized set of features at each node: feature (-1 in leaves), cut, children and class shares by node."""
+    tree: dict[str, list] = {"feature": [], "cut": [], "left": [], "right": [], "shares": []}
+    tries = max(1, round(x.shape[1] ** 0.5))
+    onehot = np.eye(classes)[y] * weight[:, None]
+    waiting = [(np.arange(len(y)), 0, None)]
+    while waiting:
+        rows, level, parent = waiting.pop()
+        node, counts = len(tree["feature"]), onehot[rows].sum(axis=0)
+        if parent is not None:
+            tree[parent[1]][parent[0]] = node
+        for name, value in (("feature", -1), ("cut", 0.0), ("left", -1), ("right", -1), ("shares", (counts / max(counts.sum(), 1e-300)).tolist())):
+            tree[name].append(value)
+        if level >= depth or len(rows) < 2 * LEAST_LEAF or (counts > 0).sum() < 2:
+            continue
+        best = (1e-12, None, None, None)
+        whole = counts.sum() - (counts**2).sum() / counts.sum()
+        for f in rng.permutation(x.shape[1])[:tries]:
+            order = rows[np.argsort(x[rows, f], kind="stable")]
+            v, left = x[order, f], np.cumsum(onehot[order], axis=0)[LEAST_LEAF - 1 : len(rows) - LEAST_LEAF]
+            right = counts - left
+            gain = whole - sum(side.sum(axis=1) - (side**2).sum(axis=1) / np.maximum(side.sum(axis=1), 1e-300) for side in (left, right))
+            gain[v[LEAST_LEAF - 1 : len(rows) - LEAST_LEAF] >= v[LEAST_LEAF : len(rows) - LEAST_LEAF + 1]] = 0
+            at = int(gain.argmax())
+            if gain[at] > best[0]:
+                k = at + LEAST_LEAF
+                best = (gain[at], int(f), float((v[k - 1] + v[k]) / 2), (order[:k], order[k:]))
+        if best[1] is not None:
+            tree["feature"][node], tree["cut"][node] = best[1], best[2]
+            waiting += [(best[3][0], level + 1, (node, "left")), (best[3][1], level + 1, (node, "right"))]
+    return tree
+
+
+def class_shares(tree: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Of each row the class shares of the leaf that it falls into."""
+    node = np.zeros(len(x), dtype=np.int64)
+    while True:
+        feature = tree["feature"][node]
+        inner = feature >= 0
+        if not inner.any():
+            return tree["shares"][node]
+        below = x[np.arange(len(x)), np.maximum(feature, 0)] <= tree["cut"][node]
+        node = np.where(inner, np.where(below, tree["left"][node], tree["right"][node]), node)
+
+
+def forest_predictions(rows: DataFrame, features: Sequence[str], label: str, key: str, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, seed: int = 0) -> DataFrame:
+    """The rows tagged val with label (its place among the sorted labels) and prediction of a class-balanced random forest fitted on the others.
+
+    Every tree sees about BAG rows, as many of each class: those whose hash for the tree falls
+    into the class's share, whatever the number of rows. Rows of a class with fewer come all,
+    with more weight. Trees grow in parallel; one has at most BAG nodes, and all go to every task.
+    Rows with a null in a feature or label take no part.
+    """
+    known = rows.where(F.col(label).isNotNull()).dropna(subset=list(features)).select(F.col(key).alias("_key"), F.col(label).alias("_label"), "split", F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
+    # One row for each class.
+    sizes = {r["_label"]: r["train"] for r in known.groupBy("_label").agg(F.count_if(F.col("split") == "train").alias("train")).collect()}
+    names = sorted(sizes)
+    place = {name: float(i) for i, name in enumerate(names)}
+    share = {name: BAG / max(len(names), 1) / max(sizes[name], 1) for name in names}
+    pick = lambda values: F.element_at(F.create_map(*[x for name in names for x in (F.lit(name), F.lit(values[name]))]), F.col("_label"))
+    if not names:
+        return rows.sparkSession.createDataFrame([], "key string, label double, prediction double")
+    data = known.withColumns({"label": pick(place), "_share": pick(share)})
+    below = F.least(F.lit(1.0), F.col("_share")) * float(2**63)
+    mine = F.filter(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64(F.col("_key"), t, F.lit(seed)).bitwiseAND(F.lit(2**63 - 1)).cast("double") < below)
+    bags = data.where("split = 'train'").select("_key", "label", "x", F.greatest(F.lit(1.0), F.col("_share")).alias("weight"), F.explode(mine).alias("tree"))
+
+    def build(k: tuple, bag: pd.DataFrame) -> pd.DataFrame:
+        bag = bag.sort_values("_key")
+        tree = grown(np.stack(bag["x"]), bag["label"].to_numpy().astype(int), bag["weight"].to_numpy(), len(names), depth, np.random.default_rng([seed, int(k[0])]))
+        return pd.DataFrame({"tree": [int(k[0])], "nodes": [json.dumps(tree)]})
+
+    made = bags.groupBy("tree").applyInPandas(build, "tree int, nodes string").orderBy("tree").collect()
+    if not made:
+        return rows.sparkSession.createDataFrame([], "key string, label double, prediction double")
+    held = [{name: np.array(v) for name, v in json.loads(r["nodes"]).items()} for r in made]
+    sent = rows.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("double")
+    def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            if not len(batch):
+                yield pd.Series(dtype=float)
+                continue
+            x = np.stack(batch.to_numpy())
+            yield pd.Series(sum(class_shares(tree, x) for tree in sent.value).argmax(axis=1).astype(float))
+
+    return data.where("split = 'val'").select(F.col("_key").cast("string").alias("key"), "label", vote("x").alias("prediction"))
+
+
+def forest_confusion(rows: DataFrame, features: Sequence[str], label: str, key: str, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, seed: int = 0) -> DataFrame:
+    """Labels against predictions on the rows tagged val."""
+    return forest_predictions(rows, features, label, key, trees, depth, seed).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
 def macro_f1(confusion: DataFrame) -> DataFrame:

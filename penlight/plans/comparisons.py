@@ -119,7 +119,20 @@ def wearable(spark, sf_dir):
     return compare.renamed(rows, {"PigID": "pig_id", "Time": "datetime", "HR_raw": "heart_rate", "Skin": "skin"}, "datetime").groupBy("pig_id").agg(F.count("*").alias("n"), F.count("datetime").alias("timed"), F.max("datetime").alias("last"), F.max("heart_rate").alias("heart_rate"))
 
 
+def clips(spark, sf_dir):
+    n = F.col("o_orderkey")
+    name = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_ch"), (n % 5).cast("string"), F.when(n % 3 > 0, F.concat(F.lit("_facility"), (n % 4).cast("string"))).otherwise(""), F.lit("_pen0"), (n % 7).cast("string"), F.when(n % 2 == 0, F.concat(F.lit("_Chamber"), (n % 6).cast("string"))).otherwise(""))
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[c.alias(k) for k, c in quality.clip_parts(name).items()])
+
+
+def usable(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", F.when(F.col("l_linenumber") > 3, F.col("l_tax")).alias("l_tax"), F.lit(None).cast("double").alias("spare"))
+    names = quality.usable_features(rows, ["l_orderkey", "l_linenumber"], exclude=["l_discount"])
+    return rows.agg(*[F.count(c).alias(c) for c in names]).unpivot([], names, "feature", "rows")
+
+
 QUERIES = {
+    "prj03_clip_parts": clips, "prj11_usable_features": usable,
     "dom15_rule_sets": rule_sets, "dom15_upgrade_lead": upgrade, "dom13_overrides": overridden, "join02_raw_values": raw_values, "join05_daily_timeline": timeline, "join15_quality_flags": flagged,
     "agg17_animal_rollup": rollup, "agg17_pig_days": coverage, "agg17_largest_drops": drops, "agg39_by_animal": by_animal, "agg39_by_day": by_day, "agg40_temperature_series": temperatures, "dom19_performance_rows": performance,
     "prj02_coerced": coerced, "prj01_time_index": time_index, "prj05_model_ready": ready, "dom04_activity_track": model_track, "src13_wearable": wearable,
@@ -150,6 +163,8 @@ ORACLE_SQL = {
     "agg39_by_day": oracle(f"WITH {DETECTED} SELECT split, (seq // 100 + 1)::BIGINT AS elapsed_day, {SUMMARY}"),
     "agg40_temperature_series": oracle("WITH " + sensor.HOURLY.strip() + " SELECT dataset_key, chamber_number, datetime, 'barn' AS series, round(barn_temperature_mean, 6) AS value FROM hourly WHERE barn_temperature_mean IS NOT NULL UNION ALL SELECT dataset_key, chamber_number, datetime, 'rectal', round(rectal_temperature_mean, 6) FROM hourly WHERE rectal_temperature_mean IS NOT NULL"),
     "dom19_performance_rows": oracle(long("policy", "policy", BURDEN, pens.BURDEN) + " UNION ALL " + long("score", "concat(score, ' ', threshold)", SCORES, pens.SWEEP + " SELECT * FROM t")),
+    "prj03_clip_parts": "SELECT o_orderkey, o_orderdate::DATE AS clip_date, o_orderkey % 5 AS channel, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 4 END AS facility, o_orderkey % 7 AS pen, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 6 WHEN o_orderkey % 3 > 0 THEN o_orderkey % 4 END AS chamber FROM orders",
+    "prj11_usable_features": "SELECT 'l_quantity' AS feature, count(l_quantity) AS rows FROM lineitem UNION ALL SELECT 'l_tax', count(CASE WHEN l_linenumber > 3 THEN l_tax END) FROM lineitem",
     "prj02_coerced": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 1 THEN l_quantity::DOUBLE END AS quantity, NULL::DOUBLE AS absent FROM lineitem",
     "prj01_time_index": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate::TIMESTAMP ELSE (CASE WHEN year(o_orderdate) < 2000 THEN o_orderdate::DATE + INTERVAL 100 YEAR ELSE o_orderdate::DATE END)::TIMESTAMP + INTERVAL '570' MINUTE END AS datetime FROM orders WHERE o_orderkey % 4 < 3",
     "prj05_model_ready": oracle("SELECT facility, pen, count(*) AS n, max(center_x) AS center_x FROM points WHERE point_count % 2 = 0 GROUP BY 1, 2"),

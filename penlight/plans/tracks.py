@@ -219,10 +219,16 @@ def isolation(spark, sf_dir):
 
 def forest(spark, sf_dir):
     rows = windows64(spark, sf_dir).select("vec_id", F.concat(F.lit("k"), (F.col("label") % 3).cast("string")).alias("kind"), (F.col("vec_id") % 20).alias("clip"), *[F.element_at("v", i + 1).alias(f"x{i}") for i in range(8)])
-    return models.macro_f1(models.forest_confusion(models.group_hold_out(rows, "clip"), [f"x{i}" for i in range(8)], "kind", 20, 6))
+    return models.macro_f1(models.forest_confusion(models.group_hold_out(rows, "clip"), [f"x{i}" for i in range(8)], "kind", "vec_id"))
+
+
+def hold_out(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 20).alias("clip"))
+    return models.group_hold_out(rows, "clip").groupBy("split").agg(F.count_distinct("clip").alias("clips"))
 
 
 QUERIES = {
+    "ml06_hold_out": hold_out,
     "agg03_frame_activity": frame_activity, "agg07_behaviour_series": behaviour_series, "agg09_posture_shares": posture_shares, "win07_track_motion": motion, "agg19_track_summary": track_summary, "agg20_frame_summary": frame_summary, "agg21_pen_summary": pen_summary,
     "prj31_activity_form": activity_form, "prj23_yolo_labels": yolo, "join14_paired_paths": paired, "agg25_profiles": profiles, "agg18_window_features": window_features, "agg16_animal_days": animal_days, "win08_day_changes": day_changes,
     "join04_challenge_days": challenge_days, "agg30_daily_cohort": daily_cohort, "win20_animal_timeline": animal_timeline, "src09_long_form": wide, "agg26_review_summary": review_summary, "dom17_rule_feedback": rule_feedback, "rev02_merged_log": merged_log,
@@ -244,6 +250,7 @@ def confirmed(keys: str, source: str, flag: str) -> str:
 
 
 ORACLE_SQL = {
+    "ml06_hold_out": "WITH g AS (SELECT count(DISTINCT vec_id % 20) AS n FROM embeddings) SELECT 'val' AS split, greatest(1, n // 5) AS clips FROM g UNION ALL SELECT 'train', n - greatest(1, n // 5) FROM g",
     "agg03_frame_activity": oracle("""
 WITH c AS (SELECT facility, pen, frame_id, datetime, count(*) AS annotations, sum(point_count)::BIGINT AS points, avg(center_x) AS x, stddev_pop(center_y) AS y, avg(span_x) AS s, max(span_y) AS max_span_y, count_if(label = 'feeding') AS feeding_count, count_if(label = 'lying') AS l, count_if(label IN ('walking', 'feeding')) AS active_count, count_if(label IN ('sitting', 'lying')) AS rest_count FROM points GROUP BY ALL)
 SELECT facility, pen, frame_id, datetime, annotations, points, round(x, 5) AS center_x_mean, round(y, 5) AS center_y_std, round(s, 5) AS span_x_mean, round(active_count / annotations::DOUBLE, 5) AS active_ratio, round(rest_count / annotations::DOUBLE, 5) AS rest_ratio, round(l / annotations::DOUBLE, 5) AS lying_ratio, max_span_y, feeding_count, active_count, rest_count FROM c"""),

@@ -167,6 +167,33 @@ def test_isolation_scores_find_the_outlier(spark):
     assert max(found, key=found.get) == 999
 
 
+def test_bagged_forest(spark):
+    """Three classes of very unequal size, apart by two features that interact; whole clips are held out."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(4000):
+        a, b, c = rng.uniform(-1, 1), rng.uniform(-1, 1), rng.uniform(-1, 1)
+        kind = "rare" if a > 0.8 and b > 0 else ("mixed" if a * b > 0 else "apart")
+        rows.append((i, f"clip{i % 25}", kind, a, b, c))
+    rows += [(9000, "clip1", None, 0.0, 0.0, 0.0), (9001, "clip2", "rare", None, 0.0, 0.0)]
+    df = models.group_hold_out(spark.createDataFrame(rows, "id int, clip string, kind string, a double, b double, c double"), "clip")
+    table = models.forest_confusion(df, ["a", "b", "c"], "kind", "id", trees=40)
+    found = sorted(map(tuple, table.collect()))
+    assert sum(n for _, _, n in found) == 5 * 160 and models.macro_f1(table).first().macro_f1 > 0.9
+    assert sorted(map(tuple, models.forest_confusion(df.repartition(7), ["a", "b", "c"], "kind", "id", trees=40).collect())) == found
+    assert models.forest_confusion(df.limit(0), ["a"], "kind", "id").count() == 0
+
+
+def test_a_tree_cuts_where_impurity_falls_most():
+    import numpy as np
+
+    x = np.array([[0.0], [1.0], [2.0], [3.0], [4.0], [5.0]])
+    tree = models.grown(x, np.array([0, 0, 0, 1, 1, 1]), np.ones(6), 2, 12, np.random.default_rng(0))
+    assert tree["feature"] == [0, -1, -1] and tree["cut"][0] == 2.5
+    held = {k: np.array(v) for k, v in tree.items()}
+    assert models.class_shares(held, np.array([[2.5], [2.6]])).tolist() == [[1.0, 0.0], [0.0, 1.0]]
+
+
 def test_macro_f1(spark):
     table = spark.createDataFrame([(0.0, 0.0, 8), (0.0, 1.0, 2), (1.0, 1.0, 5)], "label double, prediction double, n int")
     assert models.macro_f1(table).first().macro_f1 == pytest.approx((16 / 18 + 10 / 12) / 2)
