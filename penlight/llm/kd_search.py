@@ -10,7 +10,8 @@ Nulls and edges: vectors that are null, empty or hold null or non-finite compone
 no part; vectors of different lengths never meet; a tie goes to the smaller id; a query
 with fewer than k candidates gets them all; a null id is no query and no candidate; rows
 of one id are candidates of their own; an empty table gives an empty result. Components
-are taken as 64-bit integers after scaling.
+are taken as 64-bit integers after scaling; a vector whose square of its largest component
+times its length reaches 2**63 raises an error, since its scores might not fit.
 """
 
 from __future__ import annotations
@@ -89,7 +90,11 @@ def integers(v: Column) -> Column:
 def kd_top(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: the TOP largest integer inner products of each query."""
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), integers(F.col(vector_col)).alias("v"))
+    v = F.col(vector_col)
+    largest = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double")))) * SCALE + 1
+    fits = largest * largest * F.size(v) < 2.0**63
+    whole = F.when(fits, integers(v)).otherwise(F.raise_error(F.lit("components too large for 64-bit scores")).cast("array<bigint>"))
+    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
     return search(rows, is_query, TOP, lambda ids, points: KdTree(ids, points).search, np.int64, LEAST)
 
 

@@ -23,7 +23,7 @@ def test_language_scores_word_by_word(spark):
         letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
         for word in letters.split():
             if word in model.known:
-                row = model.known[word]
+                row = model.known_rows[model.known[word]]
             else:
                 marked, row, n = f"<{word}>", np.zeros(len(sums)), 0
                 for i in range(len(marked)):

@@ -93,3 +93,21 @@ def test_few_and_none(spark):
     assert found == brute(rows, inner) and len(found) == 4
     empty = spark.createDataFrame([], SCHEMA)
     assert kd_search.kd_top(empty, is_query()).count() == 0 and vp_search.vp_nearest(empty, is_query()).count() == 0
+
+
+def test_components_that_do_not_fit(spark):
+    fine = table(spark, [(0, [2.0**22, 1.0]), (50, [-(2.0**22), 3.0])])
+    assert {(r.query_id, r.score) for r in kd_search.kd_top(fine, is_query()).collect()} == {(0, -(2**60) + 768 * 256), (50, -(2**60) + 768 * 256)}
+    with pytest.raises(Exception, match="too large"):
+        kd_search.kd_top(table(spark, [(0, [1e10, 1e10]), (50, [1e10, -1.0])]), is_query()).collect()
+
+
+def test_recall_over_several_shards(spark, monkeypatch):
+    """At the query's own factor, over clustered vectors in several shards."""
+    monkeypatch.setattr(_vector_shards, "SMALL", 200)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, (centres[i % 12] + 0.4 * rng.normal(size=16)).round(4).tolist()) for i in range(2000)]
+    expected = {(q, i) for q, _, i, _ in brute(rows, cosine)}
+    found = {(r.query_id, r.vec_id) for r in vp_search.vp_nearest(table(spark, rows), is_query()).collect()}
+    assert len(found) == len(expected) and len(found & expected) >= 0.95 * len(expected)
