@@ -33,7 +33,7 @@ from penlight.llm._shared import give_back, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks and pieces that a task remembers, and the longest of them.
-CHUNKS, PIECES, LONGEST = 120_000, 150_000, 48
+CHUNKS, PIECES, LONGEST = 400_000, 500_000, 48
 #: Rows in a batch that goes back to Spark.
 ROWS_OUT = 500
 #: What str.split() takes for white space and the vocabulary's pattern does not.
