@@ -71,7 +71,7 @@ def tied_lines(spark, folder):
     spark.createDataFrame(rows, schema).write.parquet(f"{folder}/lineitem.parquet")
 
 
-@pytest.mark.parametrize("name", ["win15_incidents"])
+@pytest.mark.parametrize("name", ["win06_confirmed_runs", "win15_incidents"])
 def test_rows_equal_in_the_order(spark, tmp_path, name):
     tied_lines(spark, tmp_path)
     c = duckdb.connect()
