@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penlight.operators import rules
-from penlight.operators.events import HORIZONS, days, hours_between
+from penlight.operators.events import HORIZONS, alerts_before
 from penlight.operators.series import drop_features
 
 COUNTS = ("observations", "anomalies", "disease_alerts", "management_alerts", "environment_alerts")
@@ -39,15 +39,10 @@ def rule_sets_compared(rows: DataFrame, baseline: str = "baseline") -> DataFrame
 def lead_by_set(events: DataFrame, alerts: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """A row for each rule set: its alert windows, events that one of them preceded, mean lead hours of the first, and recall by horizon.
 
-    alerts: rule_set, chamber_id, start_datetime. Bucketed by chamber and day, as single lead matches are.
+    alerts: rule_set, chamber_id, start_datetime.
     """
-    most = max(horizons)
-    e = events.select("event_id", "chamber_id", F.col("start_datetime").alias("event_start"))
-    e = e.withColumn("_day", F.explode(days(F.col("event_start") - F.make_dt_interval(hours=F.lit(most)), F.col("event_start"))))
-    a = alerts.select("rule_set", "chamber_id", F.col("start_datetime").alias("alert_start")).withColumn("_day", F.unix_date(F.col("alert_start").cast("date")))
-    lead = e.join(a.hint("merge"), ["chamber_id", "_day"]).withColumn("lead", hours_between("alert_start", "event_start")).where(F.col("lead").between(0, most))
-    best = lead.groupBy("rule_set", "event_id").agg(F.min("lead").alias("least"), F.max("lead").alias("first"))
-    caught = best.groupBy("rule_set").agg(F.count("*").alias("matched"), F.avg("first").alias("mean_first_lead_hours"), *[F.count_if(F.col("least") <= h).alias(f"_{h}") for h in horizons])
+    best = alerts_before(events, alerts, max(horizons), ["rule_set"])
+    caught = best.groupBy("rule_set").agg(F.count("*").alias("matched"), F.avg("first_lead_hours").alias("mean_first_lead_hours"), *[F.count_if(F.col("least_lead_hours") <= h).alias(f"_{h}") for h in horizons])
     sizes = alerts.groupBy("rule_set").agg(F.count("*").alias("alert_windows"))
     # A row for each rule set, and one of the number of events.
     joined = sizes.join(F.broadcast(caught), "rule_set", "left").join(F.broadcast(events.agg(F.count("*").alias("events"))))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from penlight.operators import alerts, evaluate, events, models, penday, quality, rules, series, vision
+from penlight.operators import alerts, compare, evaluate, events, models, penday, quality, rules, series, vision
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -153,6 +153,30 @@ def test_event_joins_on_busy_chambers(spark):
     assert lead == sorted((x[0], str(y[1])) for x in ev for y in al if 0 <= (x[3] - y[1]).total_seconds() <= 72 * 3600)
 
 
+def test_lead_figures_without_pairs(spark):
+    """Counts, first and last alert by running sums over blocks of the horizon, against all pairs; times meet both ends of the horizon and of blocks."""
+    rng = random.Random(8)
+    start = lambda: hours(rng.choice([rng.randrange(500), 72 * rng.randrange(7), 24 * rng.randrange(20)])) if rng.random() < 0.95 else None
+    ev = [(f"e{rng.randrange(150)}", rng.choice(["c", "c", "d", None]), rng.choice(["fever", "other"]), start(), 1.0) for i in range(160)]
+    al = [(rng.choice(["c", "c", "d", None]), start(), rng.choice([1, 30]), rng.random(), rng.choice(["a", "b"])) for _ in range(120)]
+    e = spark.createDataFrame(ev, "event_id string, chamber_id string, event_type string, start_datetime timestamp_ntz, severity double")
+    rows = [(c, s, None if s is None else s + dt.timedelta(hours=n), x, k) for c, s, n, x, k in al]
+    a = spark.createDataFrame(rows, "chamber_id string, start_datetime timestamp_ntz, end_datetime timestamp_ntz, track_score double, rule_set string")
+    pairs = [(x, y, (x[3] - y[1]).total_seconds() / 3600) for x in ev for y in rows if None not in (x[1], x[3], y[1]) and x[1] == y[0] and 0 <= (x[3] - y[1]).total_seconds() <= 72 * 3600]
+    of = {}
+    for x, y, lead in pairs:
+        of.setdefault(x[0], []).append((y, lead))
+    found = sorted(((r.event_id, r.lead_alert_count, r.first_alert_start, r.first_lead_hours, r.max_track_score, r.caught_within_24h) for r in events.lead_summary(e, a).collect()), key=repr)
+    expected = [(k, len(v), min(y[1] for y, _ in v), max(h for _, h in v), max(y[3] for y, _ in v), min(h for _, h in v) <= 24) if v else (k, 0, None, None, None, False) for k, v in ((x[0], of.get(x[0], [])) for x in ev)]
+    assert found == sorted(expected, key=repr)
+    metrics = next(r for r in events.lead_metrics(e, a).collect() if r.scope == "all")
+    assert metrics.lead_matched_alert_windows == len({y[:3] for _, y, _ in pairs}) and metrics.lead_matched_events == sum(x[0] in of for x in ev)
+    sets = {r.rule_set: r.lead_matched_events for r in compare.lead_by_set(e, a).collect()}
+    assert sets == {k: len({x[0] for x, y, _ in pairs if y[4] == k}) for k in "ab"}
+    plan = compare.lead_by_set(e, a)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_day" not in plan and "explode(sequence" not in plan
+
+
 def test_motion_needs_a_positive_gap(spark):
     boxes = spark.createDataFrame([("v", 1, f, 10.0 * f, 0.0, 2.0, 2.0, 300.0, 400.0) for f in (1, 2, 4)] + [("v", 1, 4, 40.0, 0.0, 2.0, 2.0, None, None)], "source_video string, track_id int, frame long, x double, y double, w double, h double, frame_width double, frame_height double")
     rows = sorted(vision.track_motion(vision.box_geometry(boxes)).collect(), key=lambda r: (r.frame, r.movement is None))
