@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from penlight.operators import histories
+
 # Labels of annotated behaviour, and which of them count as active or resting.
 LABELS = ("walking", "running", "feeding", "drinking", "standing", "sitting", "lying", "sleeping", "fighting", "mounting", "playing", "rooting", "defecating", "unlabeled")
 ACTIVE, REST = ("walking", "running", "feeding", "drinking", "fighting", "mounting", "playing", "rooting"), ("sitting", "lying", "sleeping")
@@ -38,9 +40,15 @@ def behaviour_series(frames: DataFrame, keys: Sequence[str], labels: Sequence[st
 
 def posture_shares(rows: DataFrame, keys: Sequence[str], posture: str, postures: Sequence[str], order: Sequence[str], means: Sequence[str], condition: str, bin_col: str) -> DataFrame:
     """Shares of postures, share of rows whose posture changed, means, and commonest condition (smallest on a tie) by bin."""
-    changed = (F.col(posture) != F.lag(posture).over(Window.partitionBy(*keys).orderBy(*order))).cast("double")
-    return rows.withColumn("_c", F.coalesce(changed, F.lit(0.0))).groupBy(*keys, bin_col).agg(
-        *[F.avg((F.col(posture) == p).cast("double")).alias(f"{p}_share") for p in postures], F.avg("_c").alias("change_rate"), *[F.avg(m).alias(m) for m in means], F.mode(condition, True).alias(condition), F.count("*").alias("rows"))
+    parts, ordered = histories.with_last_before(rows, keys, order, [posture])
+    changed = (F.col(posture) != F.lag(posture).over(ordered)).cast("double")
+    tagged = parts.withColumn("_c", F.coalesce(changed, F.lit(0.0))).where("_own")
+    # Sums by condition first: few rows are left for each bin, and the commonest condition needs no map of its own.
+    shares = {f"{p}_share": (F.col(posture) == p).cast("double") for p in postures} | {"change_rate": F.col("_c")} | {m: F.col(m) for m in means}
+    sums = tagged.groupBy(*keys, bin_col, F.col(condition).alias("_k")).agg(F.count("*").alias("_n"), *[f(c).alias(f"_{s}_{k}") for k, c in shares.items() for s, f in (("sum", F.sum), ("of", F.count))])
+    # Smallest on a tie: the first in order of falling counts.
+    best = F.min(F.when(F.col("_k").isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col("_k").alias("k"))))["k"]
+    return sums.groupBy(*keys, bin_col).agg(*[F.try_divide(F.sum(f"_sum_{k}"), F.sum(f"_of_{k}")).alias(k) for k in shares], best.alias(condition), F.sum("_n").alias("rows"))
 
 
 def box_geometry(boxes: DataFrame) -> DataFrame:
@@ -54,10 +62,10 @@ def box_geometry(boxes: DataFrame) -> DataFrame:
 
 def track_motion(boxes: DataFrame, keys: Sequence[str] = ("source_video", "track_id"), fps: float = 30.0) -> DataFrame:
     """Distance from the track's box before, in total, for each frame, over the diagonal and each second, with flags; null without a positive gap."""
-    ordered = Window.partitionBy(*keys).orderBy("frame")
+    parts, ordered = histories.with_last_before(boxes, keys, ["frame"], ["center_x", "center_y"])
     gap = F.col("frame") - F.lag("frame").over(ordered)
     step = F.sqrt(F.pow(F.col("center_x") - F.lag("center_x").over(ordered), F.lit(2)) + F.pow(F.col("center_y") - F.lag("center_y").over(ordered), F.lit(2)))
-    out = boxes.withColumns({"frame_gap": gap, "movement": F.when(gap > 0, step)})
+    out = parts.withColumns({"frame_gap": gap, "movement": F.when(gap > 0, step)}).where("_own").select(*boxes.columns, "frame_gap", "movement")
     speed = F.try_divide(F.col("movement"), F.col("frame_gap"))
     return out.withColumns({"movement_per_frame": speed, "movement_norm": F.try_divide(F.col("movement"), F.col("diagonal")), "speed": speed * fps, "low_motion": speed < SLOW, "high_motion": speed > FAST})
 

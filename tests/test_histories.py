@@ -125,3 +125,30 @@ def test_incidents_through_buckets(spark, parts):
     want = sorted(((str(k), min((w[1] for w in g if w[1]), default=None), max((w[2] for w in g if w[2]), default=None), len(g), max(w[3] for w in g)) for k, g in expected), key=repr)
     found = alerts.incident_queue(queue).collect()
     assert sorted(((str(r.chamber_id), r.incident_start_datetime, r.incident_end_datetime, r.window_count, r.max_track_score) for r in found), key=repr) == want
+
+
+def test_motion_and_posture_changes_by_parts(spark, monkeypatch):
+    """Steps from the box before and changes of posture across parts, some of them empty, as over whole tracks; no task needs a whole one."""
+    from penlight.operators import vision
+
+    monkeypatch.setattr(histories, "ORDER_STEP", 10)
+    rng = np.random.default_rng(9)
+    boxes, expected = [], {}
+    for track in (1, 2, 3):
+        frames = sorted(rng.choice(400, 60, replace=False).tolist())
+        xs = [float(x) for x in rng.integers(0, 100, 60)]
+        boxes += [("v", track, f, x, 0.0, 100.0) for f, x in zip(frames, xs)]
+        expected |= {(track, f): (None if i == 0 else f - frames[i - 1], None if i == 0 else abs(x - xs[i - 1])) for i, (f, x) in enumerate(zip(frames, xs))}
+    found = vision.track_motion(spark.createDataFrame(boxes, "source_video string, track_id int, frame long, center_x double, center_y double, diagonal double"))
+    assert {(r.track_id, r.frame): (r.frame_gap, r.movement) for r in found.collect()} == expected
+    rows = [(k, START + datetime.timedelta(hours=int(h)), i, str(rng.choice(["lying", "walking"])), str(rng.choice(["hot", "cool"]))) for k in "ab" for i, h in enumerate(np.cumsum(rng.choice([1, 2, 5, 30, 90], 120)))]
+    frame = spark.createDataFrame(rows, "key string, datetime timestamp_ntz, no int, label string, condition string").selectExpr("*", "cast(datetime as date) as bin", "cast(no as double) as x")
+    shares = vision.posture_shares(frame, ["key"], "label", ["lying"], ["datetime", "no"], ["x"], "condition", "bin")
+    bins = {}
+    for j, (k, t, i, label, condition) in enumerate(rows):
+        bins.setdefault((k, t.date()), []).append((label == "lying", i > 0 and rows[j - 1][3] != label, i, condition))
+    wanted = {b: (statistics.mean(r[0] for r in v), statistics.mean(r[1] for r in v), statistics.mean(r[2] for r in v), min(("cool", "hot"), key=lambda c: (-sum(r[3] == c for r in v), c)), len(v)) for b, v in bins.items()}
+    got = {(r.key, r.bin): (r.lying_share, r.change_rate, r.x, r.condition, r.rows) for r in shares.collect()}
+    assert got.keys() == wanted.keys() and all(close(a, b) if isinstance(a, float) else a == b for k in got for a, b in zip(got[k], wanted[k]))
+    for df in (found, shares):
+        assert "_bucket" in df._jdf.queryExecution().optimizedPlan().toString()
