@@ -1,9 +1,12 @@
 """Operator 9: exact round trips, and the query against the tokenizers library."""
 
+import json
+import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,3 +87,64 @@ def test_signs_beside_other_symbols(spark):
         some = texts[at : at + 5_000]
         for text, mine, theirs in zip(some, chunks.encode(some), t.encode_batch(some, add_special_tokens=False)):
             assert mine.tolist() == [*theirs.ids, tf.END], text
+
+
+class Counted:
+    """A tokenizer that counts the characters it gets."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.characters = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.characters += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def assert_library(texts, path=None):
+    path = path or public_tokenizers.path(tf.VOCABULARY)
+    chunks = tf.ChunkIds(path)
+    for mine, theirs in zip(chunks.encode(texts), Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False), strict=True):
+        assert mine.tolist() == [*theirs.ids, tf.END]
+
+
+def test_words_skip_what_leaves_them_as_they_are():
+    chunks = tf.ChunkIds(public_tokenizers.path(tf.VOCABULARY))
+    chunks.tokenizer = counted = Counted(chunks.tokenizer)
+    words = ["".join(x) for x in np.random.default_rng(6).choice(list("aeinrstéüßñ"), (3_000, 7))]
+    chunks.encode([" ".join(words), " ".join(f"({w.title()})," for w in words)])
+    assert counted.characters < 100  # signs alone
+
+
+def test_every_letter_of_words():
+    letters = [chr(c) for c in range(0x21, 0x250)]
+    texts = [t for c in letters for t in (c, f"x{c}y", f"({c}{c}),", f"A{c}B {c}'s", f"{c}\u0301", f"{c} \u4e2d")]
+    texts += [unicodedata.normalize("NFD", t) for t in texts] + [" ".join(texts), "\x85a\xa0b\u2003c\x1cd\x0be", "<|ENDOFTEXT|> <|endoftext|>", "<|endoftext|>É", "É<|Ab", "", " ", None]
+    assert_library(texts)
+
+
+def test_other_vocabularies(tmp_path):
+    with open(public_tokenizers.path(tf.VOCABULARY), encoding="utf-8") as file:
+        spec = json.load(file)
+    texts = ["Some Words, É and (Ünder) don't", "Plain WORDS 12"]
+    for k, change in enumerate(({"normalizer": None}, {"added_tokens": []}, {"normalizer": {"type": "NFC"}, "added_tokens": []})):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(spec | change), encoding="utf-8")
+        assert_library(texts, str(path))
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr(tf, "REMEMBERED", 40)
+    chunks, t = tf.ChunkIds(public_tokenizers.path(tf.VOCABULARY)), Tokenizer.from_file(public_tokenizers.path(tf.VOCABULARY))
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        text = " ".join(f"word{chr(97 + i)}{chr(97 + j)}" for i, j in rng.integers(0, 26, (15, 2)))
+        assert chunks.encode([text])[0].tolist() == [*t.encode(text, add_special_tokens=False).ids, tf.END]
+        assert len(chunks.young) + len(chunks.old) <= 80
+
+
+def test_long_batches_go_in_steps(monkeypatch):
+    monkeypatch.setattr(tf, "STEP", 10)
+    texts = pa.array(["abc", None, "d" * 35, "", "e", "ab", "f" * 9])
+    parts = list(tf.steps(texts))
+    assert [x for p in parts for x in p.to_pylist()] == texts.to_pylist() and len(parts) > 2
+    assert list(tf.steps(texts.slice(0, 0))) == []
