@@ -125,8 +125,9 @@ def test_every_letter_of_words():
 def test_other_vocabularies(tmp_path):
     with open(public_tokenizers.path(tf.VOCABULARY), encoding="utf-8") as file:
         spec = json.load(file)
-    texts = ["Some Words, É and (Ünder) don't", "Plain WORDS 12"]
-    for k, change in enumerate(({"normalizer": None}, {"added_tokens": []}, {"normalizer": {"type": "NFC"}, "added_tokens": []})):
+    texts = ["Some Words, É and (Ünder) don't", "Plain WORDS 12", "xabx (cabs) ab"]
+    letters = [spec["added_tokens"][0] | {"content": "ab"}]
+    for k, change in enumerate(({"normalizer": None}, {"added_tokens": []}, {"added_tokens": letters}, {"normalizer": {"type": "NFC"}, "added_tokens": []})):
         path = tmp_path / f"{k}.json"
         path.write_text(json.dumps(spec | change), encoding="utf-8")
         assert_library(texts, str(path))
