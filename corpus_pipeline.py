@@ -54,7 +54,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number of tokens and digests of ids and decoded text, a row for each repetition; a null text counts as empty."""
-    return bpe.digests(docs)
+    # The stages before leave executors large, so tasks remember fewer words than alone.
+    return bpe.digests(docs, remembered=bpe.FEW)
 
 
 STAGES = [

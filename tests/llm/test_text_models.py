@@ -3,10 +3,12 @@
 import hashlib
 import itertools
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from penlight.llm import bpe, language_id, quality_crf
@@ -71,6 +73,33 @@ def test_bpe_joins_by_rank_and_place():
         assert c.merged(piece) == plain(piece)
 
 
+def test_bpe_remembers_words_in_little_memory():
+    c = bpe.Codec(public_tokenizers.path(bpe.VOCABULARY))
+    words = [f"{a}{b}ing" for a in map("".join, itertools.product("bdklmprst", repeat=3)) for b in ("ea", "oa", "ui", "au", "ie")]
+    tracemalloc.start()
+    c.encode(" ".join(words))
+    held_bytes = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(c) == len(words) == len(c.pieces_known)
+    assert held_bytes < 250 * len(words)
+
+
+def test_bpe_with_few_words_remembered():
+    t, c = library(), bpe.Codec(public_tokenizers.path(bpe.VOCABULARY), (3, 2))
+    for text in ("The cat, the dog; THE end. naïve ΑΣ", "a b c d e f g a b c d e f g", "the<|endoftext|>the cat"):
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert c.encode(text) == (struct.pack(f"<{len(ids)}I", *ids), t.decode(ids, skip_special_tokens=False))
+        assert len(c) <= 3 and len(c.pieces_known) <= 2
+    encode = bpe.encoder(public_tokenizers.path(bpe.VOCABULARY), 0, (3, 2))
+    texts = ["the cat sat on the mat", None, "a dog and a cat"]
+    model = bpe.codec(public_tokenizers.path(bpe.VOCABULARY))
+    for batch in encode(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])] * 2)):
+        assert len(model) <= 3 and len(model.pieces_known) <= 2
+        expected = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in batch.column(1).to_pylist()] == expected
+    assert not model and not model.pieces_known
+
+
 def test_bpe_query(spark):
     t = library()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
