@@ -34,7 +34,7 @@ from tokenizers import Tokenizer
 from penlight.llm._shared import give_back, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
-#: Most chunks and pieces that a task remembers, and those of a task whose executor holds much already: a worker is smaller by some 50 MB and takes about twice the time. LONGEST: the longest of them.
+#: Most chunks and pieces that a task remembers, and those of a task whose executor holds much already: less memory, more time. LONGEST: the longest of them.
 REMEMBERED, FEW, LONGEST = (400_000, 500_000), (50_000, 100_000), 48
 #: Rows in a batch that goes back to Spark.
 ROWS_OUT = 200
