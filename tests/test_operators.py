@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,6 +154,39 @@ def test_event_joins_on_busy_chambers(spark):
     assert lead == sorted((x[0], str(y[1])) for x in ev for y in al if 0 <= (x[3] - y[1]).total_seconds() <= 72 * 3600)
 
 
+def joined_rows(df):
+    """Rows of df as a bag, and rows that came out of its joins."""
+    bag = Counter(tuple(map(repr, r)) for r in df.collect())
+
+    def out(node):
+        name = node.nodeName()
+        held = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else [node.children().apply(i) for i in range(node.children().size())]
+        return (node.metrics().apply("numOutputRows").value() if name.startswith("SortMergeJoin") else 0) + sum(map(out, held))
+
+    return bag, out(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("copies", [1, 300])
+def test_equal_alerts_meet_an_event_once(spark, copies):
+    """Alerts that come again are whole in the result, but only those that differ go through the joins; -0.0, NaN and null scores stay as they are."""
+    ev = [(f"e{i}", c, "fever", hours(h), hours(h + n), 1.0) for i, (c, h, n) in enumerate([("c", 100, 8), ("c", 100, 8), ("c", 101, 60), ("d", 100, 8), (None, 100, 8), ("c", 160, 8)])]
+    ev += [ev[0], ("e9", "c", "fever", None, None, None)]
+    kinds = [("c", 99, 24, 0.0, "r"), ("c", 99, 24, -0.0, "r"), ("c", 99, 24, float("nan"), "r"), ("c", 99, 24, None, None), ("c", 99, 30, 0.0, "r"), ("c", 28, 24, 2.0, "s"), ("c", 29, 100, 2.0, ""), (None, 99, 24, 1.0, "r")]
+    al = [(c, hours(h), hours(h + n), x, "high", r) for c, h, n, x, r in kinds for _ in range(copies)] + [("c", None, None, 1.0, "high", "r")]
+    e = spark.createDataFrame(ev, "event_id string, chamber_id string, event_type string, start_datetime timestamp_ntz, end_datetime timestamp_ntz, severity double")
+    a = spark.createDataFrame(al, "chamber_id string, start_datetime timestamp_ntz, end_datetime timestamp_ntz, track_score double, tier string, reason string")
+    known = [(x, y) for x in ev for y in al if x[1] is not None and x[1] == y[0] and None not in (x[3], y[1])]
+    text = lambda *row: tuple(map(repr, row))
+    bag, most = joined_rows(events.overlaps(e, a).select("event_id", "alert_start", "alert_end", "track_score", "reason", "overlap_hours"))
+    shared = [(x, y, (min(x[4], y[2]) - max(x[3], y[1])).total_seconds() / 3600) for x, y in known]
+    assert bag == Counter(text(x[0], y[1], y[2], y[3], y[5], n) for x, y, n in shared if n > 0)
+    assert 0 < most < 200
+    bag, most = joined_rows(events.lead_matches(e, a).select("event_id", "alert_start", "track_score", "reason", "lead_hours", "matched_horizons_hours"))
+    lead = [(x, y, (x[3] - y[1]).total_seconds() / 3600) for x, y in known]
+    assert bag == Counter(text(x[0], y[1], y[3], y[5], n, ",".join(str(h) for h in (24, 48, 72) if n <= h)) for x, y, n in lead if 0 <= n <= 72)
+    assert 0 < most < 200
+
+
 def test_lead_figures_without_pairs(spark):
     """Counts, first and last alert by running sums over blocks of the horizon, against all pairs; times meet both ends of the horizon and of blocks."""
     rng = random.Random(8)
